@@ -18,7 +18,7 @@ from fleetlens import settings as S
 from fleetlens.functions.columns import (
     flag, floor_cell, nearest_centre, normal_cdf, normal_quantile, rotated,
 )
-from fleetlens.operators.ordered import exact_percentiles
+from fleetlens.operators.ordered import exact_percentiles, quantile_grid
 from fleetlens.operators.prep import check_required_columns
 
 ENDS = ["source_x", "source_y", "destination_x", "destination_y"]
@@ -283,10 +283,7 @@ class QuantileNormalTarget:
         self.grid: list[float] = []
 
     def fit(self, df: DataFrame, column: str) -> QuantileNormalTarget:
-        probabilities = [i / (self.quantiles - 1) for i in range(self.quantiles)]
-        self.grid = [float(v) for v in exact_percentiles(
-            df, column, probabilities, names=[f"q{i}" for i in range(self.quantiles)]
-        ).first()]
+        self.grid = quantile_grid(df, column, self.quantiles)
         return self
 
     def _between(self, value: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:

@@ -67,8 +67,7 @@ def create_trips_simple(
 
 
 def _span(high_x: str, low_x: str, high_y: str, low_y: str) -> Column:
-    dx, dy = F.col(high_x) - F.col(low_x), F.col(high_y) - F.col(low_y)
-    return F.sqrt(dx * dx + dy * dy)
+    return F.hypot(F.col(high_x) - F.col(low_x), F.col(high_y) - F.col(low_y))
 
 
 def create_trip_features(fcd: DataFrame, min_points: int = 0) -> DataFrame:
