@@ -14,7 +14,7 @@ from fleetlens.operators.calibrators import (
 from fleetlens.operators.ordered import exact_percentiles
 from fleetlens.operators.routes import edge_array_statistics
 from fleetlens.plans import inputs as I
-from fleetlens.plans.catalog import query, rounded, rounded_sql, seconds, table
+from fleetlens.plans.catalog import query, rounded, rounded_sql, table
 from fleetlens.session import shared_path
 from fleetlens.settings import ETA_MODEL_FEATURES
 from fleetlens.sources import telemetry as src
@@ -431,14 +431,13 @@ def stops_calibrator(spark, folder):
 
 @query(
     "edge_arrays",
-    """SELECT user_id, count(*) AS route_num_edges, count(DISTINCT event_type) AS route_unique_edges,
-    round(count(DISTINCT event_type) / CAST(count(*) AS DOUBLE), 6) AS route_edge_reuse_ratio, day FROM (
-      SELECT user_id, event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events) GROUP BY user_id, day""",
+    """SELECT doc_id, len(string_split(text, ' ')) AS route_num_edges, len(list_distinct(string_split(text, ' '))) AS route_unique_edges,
+    round(len(list_distinct(string_split(text, ' '))) / CAST(len(string_split(text, ' ')) AS DOUBLE), 6) AS route_edge_reuse_ratio
+    FROM documents""",
 )
 def edge_arrays(spark, folder):
-    """Routes of one user and day as arrays; their statistics come from array functions."""
-    day = F.floor(seconds("ts") / 86_400).alias("day")
-    routes = table(spark, folder, "events").groupBy("user_id", day).agg(F.collect_list("event_type").alias("route_edges"))
+    """The words of each document as the edges of a route; array functions inside the row."""
+    routes = table(spark, folder, "documents").select("doc_id", F.split("text", " ", -1).alias("route_edges"))
     return rounded(routes.withColumns(edge_array_statistics("route_edges")).drop("route_edges"))
 
 

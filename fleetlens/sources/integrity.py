@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from fleetlens.operators.joins import lookup
 
 
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(name, md5) per file; for files that fit into a row."""
+def file_checksums(spark: SparkSession, path: str, most_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+    """(name, md5) per file. Each file is one row, so only small files are taken; tables have content_checksums."""
     found = spark.read.format("binaryFile").load(path)
+    large = found.where(F.col("length") > most_bytes).select("path").first()
+    if large:
+        raise ValueError(f"{large[0]} is too large for one row; use content_checksums")
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("md5"))
 
 
