@@ -27,6 +27,7 @@ from fleetlens.functions.columns import mixed_hash
 from fleetlens.operators.ordered import OrderedRows
 from fleetlens.operators.stats import evaluate
 from fleetlens.schemas import METRICS
+from fleetlens.session import stage
 
 # Defaults of the boosted families.
 BOOSTED = {"maxIter": 100, "maxDepth": 7, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
@@ -75,7 +76,11 @@ class TransformedTarget:
 
     def fit(self, rows: DataFrame) -> TransformedTarget:
         fitted = self.transform.fit(rows, self.target)
-        self.model = self.pipeline.fit(rows.withColumn("_moved", fitted.forward(F.col(self.target))))
+        moved = rows.withColumn("_moved", fitted.forward(F.col(self.target))).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.model = self.pipeline.fit(moved)
+        finally:
+            moved.unpersist()
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -164,9 +169,11 @@ def cross_validate(
     """Metric rows per (model, fold) of rows with a ``fold`` column.
 
     ``prepare`` is fitted on the training part of each fold and applied to both parts, so nothing leaks. ``wrap`` makes
-    a target transform; ``inspect`` may add an importance table per model and fold.
+    a target transform; ``inspect`` may add an importance table per model and fold. The folds are written once and
+    read back for every part, so the assignment is neither computed again nor lost with an executor.
     """
     spark = folded.sparkSession
+    folded = stage(folded, "folded")
     rows, inspected = [], []
     folds = sorted(r[0] for r in folded.select("fold").distinct().collect())
     for fold in folds:

@@ -54,10 +54,14 @@ class OrderedRows:
         order: Sequence[str],
         group_rows: int = GROUP_ROWS,
         chunks: int | None = None,
+        largest: int | None = None,
     ) -> OrderedRows:
-        """Keep whole groups when the largest has at most ``group_rows`` rows, else cut the rows into chunks."""
+        """Keep whole groups when the largest has at most ``group_rows`` rows, else cut the rows into chunks.
+
+        ``largest`` is an upper bound on the group size where the caller knows one; else the groups are counted.
+        """
         keys, order = tuple(keys), tuple(order)
-        if largest_group(df, keys) <= group_rows:
+        if (largest_group(df, keys) if largest is None else largest) <= group_rows:
             return cls(df.withColumn(CHUNK, F.lit(0)), keys, order, False)
         n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         placed = df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
@@ -163,6 +167,15 @@ class OrderedRows:
         return placed.with_rows(placed.df.withColumn(name, length.cast("long")).drop("_at", "_last"))
 
 
+def _counted_values(df: DataFrame, column: str, keys: Sequence[str], group_rows: int) -> OrderedRows:
+    """Distinct values with their counts, laid out by value. Their number is bounded by a sketch with 20 % to spare."""
+    present = df.where(F.col(column).isNotNull())
+    sketch = present.groupBy(*keys).agg(F.approx_count_distinct(column, 0.02).alias("_d")).agg(F.max("_d"))
+    largest = int((sketch.first()[0] or 0) * 1.2)
+    counted = present.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    return OrderedRows.lay_out(counted, keys, [column], group_rows, largest=largest)
+
+
 def exact_percentiles(
     df: DataFrame,
     column: str,
@@ -177,8 +190,7 @@ def exact_percentiles(
     the two neighbours of each position are picked by an aggregate; no task holds all values of a group.
     """
     names = list(names or [f"p{round(100 * p)}" for p in probabilities])
-    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    scan = OrderedRows.lay_out(counted, keys, [column], group_rows)
+    scan = _counted_values(df, column, keys, group_rows)
     scan = scan.running(_upto=("sum", F.col("_n"))).totals(_all=("sum", F.col("_n")))
     picks = []
     for i, p in enumerate(probabilities):
@@ -203,8 +215,7 @@ def quantile_grid(df: DataFrame, column: str, points: int, group_rows: int = GRO
     The same scan as above; each distinct value then names the grid points whose neighbours it is, in integer
     arithmetic, so the work does not grow with ``points``.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    scan = OrderedRows.lay_out(counted, [], [column], group_rows)
+    scan = _counted_values(df, column, (), group_rows)
     scan = scan.running(_upto=("sum", F.col("_n"))).totals(_all=("sum", F.col("_n")))
     steps = points - 1
     placed = scan.rows().withColumns({"_from": F.col("_upto") - F.col("_n"), "_last": F.col("_all") - 1})
@@ -222,7 +233,7 @@ def quantile_grid(df: DataFrame, column: str, points: int, group_rows: int = GRO
     pick = lambda side: F.max(F.when(F.col("side") == side, F.col("v")))
     rows = found.groupBy("i").agg(pick("lo").alias("lo"), pick("hi").alias("hi"), F.max("_last").alias("last")).collect()
     if not rows:
-        return [float(r[0]) for r in counted.select(column).collect()] * points
+        return [float(r[0]) for r in df.agg(F.max(column)).collect()] * points
     by_index = {r["i"]: r for r in rows}
     share = lambda r: r["last"] * r["i"] % steps / steps
     return [float(r["lo"] + (r["hi"] - r["lo"]) * share(r)) for r in (by_index[i] for i in range(points))]

@@ -48,7 +48,7 @@ def trips(spark: SparkSession, folder: str) -> DataFrame:
         ((F.col("l_partkey") * 37 % 10000).cast("double") - 5000).alias("destination_x"),
         ((F.col("l_suppkey") * 91 % 5000).cast("double") - 2500).alias("destination_y"),
         ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 97) % 36000).alias("time_start"),
-        (price / 20).alias("distance"),
+        (price / 20 + F.col("l_discount") * 1000).alias("distance"),
         F.floor(price / 100 + quantity * 3 + F.col("l_orderkey") % 50).alias("duration"),
     )
 
@@ -60,7 +60,7 @@ TRIPS_SQL = """trips AS (
          CAST(l_partkey * 37 % 10000 AS DOUBLE) - 5000 AS destination_x,
          CAST(l_suppkey * 91 % 5000 AS DOUBLE) - 2500 AS destination_y,
          (l_orderkey * 7 + l_linenumber * 97) % 36000 AS time_start,
-         l_extendedprice / 20 AS distance,
+         l_extendedprice / 20 + l_discount * 1000 AS distance,
          CAST(floor(l_extendedprice / 100 + l_quantity * 3 + l_orderkey % 50) AS BIGINT) AS duration
   FROM lineitem)"""
 
