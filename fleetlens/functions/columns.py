@@ -51,16 +51,13 @@ def mixed_hash_sql(number: str, seed: int = 0) -> str:
 def nearest_centre(x: str | Column, y: str | Column, centres: Sequence[Sequence[float]]) -> Column:
     """Index of the nearest fixed centre, the lower index on ties.
 
-    The squared distance without its common term x^2 + y^2: two products per centre and whole-stage codegen. Written
-    as (x - cx) * (x - cx) + ..., the shared differences came back wrong from Spark 4.1's subexpression elimination
-    once centres mirrored each other.
+    The squared distance without its common term x^2 + y^2: two products per centre, and an array of plain doubles
+    keeps the generated method small enough for the JIT. Written as (x - cx) * (x - cx) + ..., the shared differences
+    came back wrong from Spark 4.1's subexpression elimination once centres mirrored each other.
     """
     x, y = as_column(x), as_column(y)
-    scored = [
-        F.struct((x * (-2.0 * cx) + y * (-2.0 * cy) + (cx * cx + cy * cy)).alias("d"), F.lit(i).alias("i"))
-        for i, (cx, cy) in enumerate(centres)
-    ]
-    return F.array_min(F.array(*scored)).getField("i")
+    scores = F.array(*[x * (-2.0 * cx) + y * (-2.0 * cy) + (cx * cx + cy * cy) for cx, cy in centres])
+    return (F.array_position(scores, F.array_min(scores)) - 1).cast("int")
 
 
 def rotated(x: str | Column, y: str | Column, means: Sequence[float], axis: Sequence[float]) -> Column:

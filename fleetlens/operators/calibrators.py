@@ -15,6 +15,7 @@ from fleetlens.operators import features as X
 from fleetlens.operators.prep import check_required_columns, keep_fuel_trips, select_model_columns
 from fleetlens.operators.routes import edge_array_statistics
 from fleetlens.operators.trips import extract_stop_trips, fuel_trips
+from fleetlens.session import stage
 
 GROUPS = ("temporal", "spatial", "fourier", "cell", "cluster", "pca")
 _KINDS: dict[str, type] = {}
@@ -135,7 +136,7 @@ class FeatureCalibratorFuel(Calibrator):
         min_points: int = S.FUEL_MIN_POINTS,
     ) -> FeatureCalibratorFuel:
         check_required_columns(fcd, cls.TELEMETRY, "fuel calibration")
-        trips = keep_fuel_trips(fuel_trips(fcd, min_points))
+        trips = stage(keep_fuel_trips(fuel_trips(fcd, min_points)), "fuel-trips")
         return cls(
             X.fit_centres(trips, "vehicle_x_first", "vehicle_y_first", clusters, seed, restarts),
             X.fit_centres(trips, "vehicle_x_last", "vehicle_y_last", clusters, seed, restarts),
@@ -192,8 +193,10 @@ class FeatureCalibratorStops(Calibrator):
         restarts: int = S.CLUSTER_RESTARTS, use_spatial: bool = True, use_routes: bool = True, **extract,
     ) -> FeatureCalibratorStops:
         state = cls(use_spatial, use_routes)
-        trips = extract_stop_trips(fcd, use_routes=use_routes, **extract)
-        return state.fit_trips(trips, target, clusters, seed, restarts) if use_spatial else state
+        if not use_spatial:
+            return state
+        trips = stage(extract_stop_trips(fcd, use_routes=use_routes, **extract), "stop-trips")
+        return state.fit_trips(trips, target, clusters, seed, restarts)
 
     def fit_trips(
         self, trips: DataFrame, target: str = "actual_stops", clusters: int = S.STOPS_CLUSTERS, seed: int = 0,

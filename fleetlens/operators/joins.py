@@ -79,7 +79,8 @@ def nearest_within(
 
     Equal positions collapse first. The search starts on a fine grid and only points without an answer there go on
     to the next, twice as coarse one: crowded places are settled with few candidates, and the last grid has
-    cells of ``radius``, so the answer is exact.
+    cells of ``radius``, so the answer is exact. Each grid's answers are staged, since the next grid and the result
+    both need them.
     """
     px, py = point_xy
     tx, ty = target_xy
@@ -100,6 +101,7 @@ def nearest_within(
             around.join(gridded, ["_cx", "_cy"]).withColumn("_gap", gap).where(F.col("_gap") <= cell)
             .groupBy("_px", "_py").agg(F.min(F.struct("_gap", "_id")).alias("_best"))
         )
+        found = stage(found, "nearest")
         answers = found if answers is None else answers.unionByName(found)
         if level:
             open_points = open_points.join(found, ["_px", "_py"], "left_anti")
@@ -107,4 +109,4 @@ def nearest_within(
         F.col("_px").alias(px), F.col("_py").alias(py),
         F.col("_best._id").alias(target_id), F.col("_best._gap").alias("gap"),
     )
-    return lookup(points, stage(settled, "nearest"), [px, py], "left")
+    return lookup(points, settled, [px, py], "left")

@@ -167,13 +167,18 @@ class OrderedRows:
         return placed.with_rows(placed.df.withColumn(name, length.cast("long")).drop("_at", "_last"))
 
 
-def _counted_values(df: DataFrame, column: str, keys: Sequence[str], group_rows: int) -> OrderedRows:
-    """Distinct values with their counts, laid out by value. Their number is bounded by a sketch with 20 % to spare."""
+def _most_distinct(df: DataFrame, column: str, keys: Sequence[str]) -> int:
+    """Upper bound on the distinct values of a group: a sketch with 20 % to spare."""
+    sketch = df.groupBy(*keys).agg(F.approx_count_distinct(column, 0.02).alias("_d")).agg(F.max("_d"))
+    return int((sketch.first()[0] or 0) * 1.2)
+
+
+def _value_scan(df: DataFrame, column: str, keys: Sequence[str], largest: int, group_rows: int) -> OrderedRows:
+    """Distinct values in order with the number of rows up to each and in all; copies collapse before the shuffle."""
     present = df.where(F.col(column).isNotNull())
-    sketch = present.groupBy(*keys).agg(F.approx_count_distinct(column, 0.02).alias("_d")).agg(F.max("_d"))
-    largest = int((sketch.first()[0] or 0) * 1.2)
     counted = present.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    return OrderedRows.lay_out(counted, keys, [column], group_rows, largest=largest)
+    scan = OrderedRows.lay_out(counted, keys, [column], group_rows, largest=largest)
+    return scan.running(_upto=("sum", F.col("_n"))).totals(_all=("sum", F.col("_n")))
 
 
 def exact_percentiles(
@@ -186,12 +191,16 @@ def exact_percentiles(
 ) -> DataFrame:
     """Linearly interpolated percentiles, one row per group.
 
-    Values are counted first (copies collapse before the shuffle), the distinct values are scanned in order, and
-    the two neighbours of each position are picked by an aggregate; no task holds all values of a group.
+    With few distinct values per group the built-in exact aggregate does it. Beyond ``group_rows`` of them the values
+    are counted, scanned in order in chunks, and the two neighbours of each position picked by an aggregate, so no
+    task holds all values of a group.
     """
     names = list(names or [f"p{round(100 * p)}" for p in probabilities])
-    scan = _counted_values(df, column, keys, group_rows)
-    scan = scan.running(_upto=("sum", F.col("_n"))).totals(_all=("sum", F.col("_n")))
+    largest = _most_distinct(df, column, keys)
+    if largest <= group_rows:
+        found = df.groupBy(*keys).agg(F.percentile(column, F.array(*[F.lit(float(p)) for p in probabilities])).alias("_p"))
+        return found.select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    scan = _value_scan(df, column, keys, largest, group_rows)
     picks = []
     for i, p in enumerate(probabilities):
         at = (F.col("_all") - 1) * F.lit(float(p))
@@ -210,14 +219,17 @@ def exact_percentiles(
 
 
 def quantile_grid(df: DataFrame, column: str, points: int, group_rows: int = GROUP_ROWS) -> list[float]:
-    """``points`` evenly spaced exact quantiles from the minimum to the maximum.
+    """``points`` evenly spaced exact quantiles from the minimum to the maximum, on the same two paths.
 
-    The same scan as above; each distinct value then names the grid points whose neighbours it is, in integer
-    arithmetic, so the work does not grow with ``points``.
+    In the scan each distinct value then names the grid points whose neighbours it is, in integer arithmetic, so its
+    work does not grow with ``points``.
     """
-    scan = _counted_values(df, column, (), group_rows)
-    scan = scan.running(_upto=("sum", F.col("_n"))).totals(_all=("sum", F.col("_n")))
     steps = points - 1
+    largest = _most_distinct(df, column, ())
+    if largest <= group_rows:
+        shares = F.array(*[F.lit(i / steps) for i in range(points)])
+        return [float(v) for v in df.agg(F.percentile(column, shares)).first()[0]]
+    scan = _value_scan(df, column, (), largest, group_rows)
     placed = scan.rows().withColumns({"_from": F.col("_upto") - F.col("_n"), "_last": F.col("_all") - 1})
     spans = {
         "lo": (f"(_from * {steps} + _last - 1) div _last", f"(_upto * {steps} + _last - 1) div _last - 1"),

@@ -15,7 +15,7 @@ from fleetlens.operators.ordered import exact_percentiles
 from fleetlens.operators.routes import edge_array_statistics
 from fleetlens.plans import inputs as I
 from fleetlens.plans.catalog import query, rounded, rounded_sql, table
-from fleetlens.session import shared_path
+from fleetlens.session import shared_path, stage
 from fleetlens.settings import ETA_MODEL_FEATURES
 from fleetlens.sources import telemetry as src
 
@@ -416,9 +416,12 @@ def stops_calibrator(spark, folder):
     """Telemetry to stops trips to the spatial features of the stops model, with fixed centres."""
     from fleetlens.operators.trips import extract_stop_trips
 
-    trips = extract_stop_trips(
-        I.telemetry(spark, folder), 2, 60, 5, is_break=lambda step: step > I.GAP,
-        stopped=F.col("vehicle_speed") < 20, tiebreak=["event_id"],
+    trips = stage(
+        extract_stop_trips(
+            I.telemetry(spark, folder), 2, 60, 5, is_break=lambda step: step > I.GAP,
+            stopped=F.col("vehicle_speed") < 20, tiebreak=["event_id"],
+        ),
+        "stop-trips",
     )
     state = FeatureCalibratorStops(
         use_routes=False, centre=list(X.mean_point(trips, "trip_start_x", "trip_start_y")),

@@ -21,6 +21,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # the JIT skips methods above 8000 bytes of code; wide feature projections then run per expression instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }

@@ -73,10 +73,10 @@ def test_a_stop_does_not_reach_over_a_gap(spark):
 
 def test_records_without_edge_leave_after_segmentation(spark):
     lanes = ["a_0", "", "a_1", ":j_1_0"]
-    rows = [record("a", t, 600 * t, speed=0, lane=lanes[t % 4]) for t in range(62)]
+    rows = [record("a", t, 600 * t, speed=0, lane=lanes[t % 4]) for t in range(64)]
     trip = T.extract_stop_trips(frame(spark, rows)).first()
     assert (trip["trip_id"], trip["actual_stops"], trip["route_unique_edges"]) == ("a_1", 1, 2)
-    assert trip["route_num_edges"] == sum(bool(lanes[t % 4]) for t in range(62))
+    assert trip["route_num_edges"] == sum(bool(lanes[t % 4]) for t in range(64))
 
 
 def test_cleaning_drops_nulls_and_late_rows(spark):
