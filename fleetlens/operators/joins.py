@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetlens.session import stage
 from fleetlens.settings import LOOKUP_ROWS, SALTS
@@ -29,19 +30,26 @@ def lookup(
     how: str = "left",
     rows: int = LOOKUP_ROWS,
     salts: int = SALTS,
+    computed: bool = True,
 ) -> DataFrame:
-    """Join ``facts`` to ``table`` (one row per key): broadcast if it is small, else salted so that no key is hot."""
+    """Join ``facts`` to ``table``: broadcast if the table is small, else salted so that no key is hot.
+
+    A computed table is staged, so that counting it and joining it do not run its plan twice.
+    """
     on = [on] if isinstance(on, str) else list(on)
+    if computed:
+        table = stage(table, "lookup")
     if is_small(table, rows):
         return facts.join(F.broadcast(table), on, how)
     return _salted(facts, table, on, how, salts)
 
 
 def lookup_with_default(
-    facts: DataFrame, table: DataFrame, on: str, value: str, default: object, rows: int = LOOKUP_ROWS
+    facts: DataFrame, table: DataFrame, on: str, value: str, default: object, rows: int = LOOKUP_ROWS,
+    computed: bool = True,
 ) -> DataFrame:
     """Dictionary lookup: ``value`` of the matching row, or ``default``."""
-    joined = lookup(facts, table.select(on, value), on, "left", rows)
+    joined = lookup(facts, table.select(on, value), on, "left", rows, computed=computed)
     return joined.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
@@ -66,6 +74,33 @@ def full_outer_fold(tables: dict[str, DataFrame], keys: Sequence[str], values: S
     return stacked.groupBy(*keys).agg(*picks)
 
 
+def _cells(spots: DataFrame, size: float) -> DataFrame:
+    """Occupied cells of a grid with the tight box around their targets and the number of positions."""
+    at = [F.floor(F.col(c) / size).alias(n) for c, n in (("_tx", "_cx"), ("_ty", "_cy"))]
+    return spots.groupBy(*at).agg(
+        F.min("_tx").alias("_x0"), F.max("_tx").alias("_x1"), F.min("_ty").alias("_y0"), F.max("_ty").alias("_y1"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+
+
+def _nearer_cells(pairs: DataFrame, radius: float) -> DataFrame:
+    """Of the (point, cell) pairs those that can hold the nearest target: no farther than some other cell surely is."""
+    zero = F.lit(0.0)
+    low = F.hypot(
+        F.greatest(zero, F.col("_x0") - F.col("_px"), F.col("_px") - F.col("_x1")),
+        F.greatest(zero, F.col("_y0") - F.col("_py"), F.col("_py") - F.col("_y1")),
+    )
+    high = F.hypot(
+        F.greatest(F.abs(F.col("_px") - F.col("_x0")), F.abs(F.col("_px") - F.col("_x1"))),
+        F.greatest(F.abs(F.col("_py") - F.col("_y0")), F.abs(F.col("_py") - F.col("_y1"))),
+    )
+    sure = F.min(high).over(Window.partitionBy("_px", "_py"))
+    near = pairs.withColumns({"_low": low, "_sure": sure}).where(
+        (F.col("_low") <= radius) & (F.col("_low") <= F.col("_sure") * (1 + 1e-12))
+    )
+    return near.select("_px", "_py", "_cx", "_cy")
+
+
 def nearest_within(
     points: DataFrame,
     targets: DataFrame,
@@ -73,39 +108,41 @@ def nearest_within(
     point_xy: tuple[str, str] = ("x", "y"),
     target_xy: tuple[str, str] = ("x", "y"),
     target_id: str = "target_id",
-    levels: int = 5,
+    per_cell: int = 64,
+    deepest: int = 40,
 ) -> DataFrame:
     """The nearest target of every point within ``radius``; NULL where there is none, the smaller id on ties.
 
-    Equal positions collapse first. The search starts on a fine grid and only points without an answer there go on
-    to the next, twice as coarse one: crowded places are settled with few candidates, and the last grid has
-    cells of ``radius``, so the answer is exact. Each grid's answers are staged, since the next grid and the result
-    both need them.
+    Equal positions collapse first. A point starts with the occupied cells around it on a grid of ``radius`` and
+    descends with those that can still hold its nearest target, four children at a time, until cells have at most
+    ``per_cell`` positions. Only then is it compared with single targets: a crowded cell never meets all its points.
     """
     px, py = point_xy
     tx, ty = target_xy
-    open_points = points.select(F.col(px).alias("_px"), F.col(py).alias("_py")).distinct()
     spots = targets.groupBy(F.col(tx).alias("_tx"), F.col(ty).alias("_ty")).agg(F.min(target_id).alias("_id"))
-    answers = None
-    for level in reversed(range(levels)):
-        cell = radius / 2**level
-        grid = lambda c: F.floor(F.col(c) / cell)
-        step = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
-        around = (
-            open_points.withColumn("_dx", step).withColumn("_dy", step)
-            .withColumn("_cx", grid("_px") + F.col("_dx")).withColumn("_cy", grid("_py") + F.col("_dy"))
-        )
-        gridded = spots.withColumn("_cx", grid("_tx")).withColumn("_cy", grid("_ty"))
-        gap = F.hypot(F.col("_tx") - F.col("_px"), F.col("_ty") - F.col("_py"))
-        found = (
-            around.join(gridded, ["_cx", "_cy"]).withColumn("_gap", gap).where(F.col("_gap") <= cell)
-            .groupBy("_px", "_py").agg(F.min(F.struct("_gap", "_id")).alias("_best"))
-        )
-        found = stage(found, "nearest")
-        answers = found if answers is None else answers.unionByName(found)
-        if level:
-            open_points = open_points.join(found, ["_px", "_py"], "left_anti")
-    settled = answers.select(
+    spots = stage(spots, "spots")
+    levels = [stage(_cells(spots, radius), "cells")]
+    while (levels[-1].agg(F.max("_n")).first()[0] or 0) > per_cell and len(levels) <= deepest:
+        levels.append(stage(_cells(spots, radius / 2 ** len(levels)), "cells"))
+    step = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+    near = points.select(F.col(px).alias("_px"), F.col(py).alias("_py")).distinct()
+    near = near.withColumn("_dx", step).withColumn("_dy", step).select(
+        "_px", "_py", (F.floor(F.col("_px") / radius) + F.col("_dx")).alias("_cx"),
+        (F.floor(F.col("_py") / radius) + F.col("_dy")).alias("_cy"),
+    )
+    half = F.explode(F.array(F.lit(0), F.lit(1)))
+    for depth, cells in enumerate(levels):
+        if depth:
+            near = near.withColumn("_dx", half).withColumn("_dy", half).select(
+                "_px", "_py", (F.col("_cx") * 2 + F.col("_dx")).alias("_cx"), (F.col("_cy") * 2 + F.col("_dy")).alias("_cy")
+            )
+        near = _nearer_cells(lookup(near, cells.drop("_n"), ["_cx", "_cy"], "inner", computed=False), radius)
+    size = radius / 2 ** (len(levels) - 1)
+    placed = spots.withColumn("_cx", F.floor(F.col("_tx") / size)).withColumn("_cy", F.floor(F.col("_ty") / size))
+    gap = F.hypot(F.col("_tx") - F.col("_px"), F.col("_ty") - F.col("_py"))
+    best = lookup(near, placed, ["_cx", "_cy"], "inner", computed=False).withColumn("_gap", gap)
+    best = best.where(F.col("_gap") <= radius).groupBy("_px", "_py").agg(F.min(F.struct("_gap", "_id")).alias("_best"))
+    settled = best.select(
         F.col("_px").alias(px), F.col("_py").alias(py),
         F.col("_best._id").alias(target_id), F.col("_best._gap").alias("gap"),
     )

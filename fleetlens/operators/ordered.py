@@ -18,6 +18,7 @@ from fleetlens.session import stage
 from fleetlens.settings import GROUP_ROWS
 
 CHUNK = "_chunk"
+PERCENTILE_VALUES = 100_000  # beyond, the built-in percentile is slower than the scan
 
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 _CARRY = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -197,7 +198,7 @@ def exact_percentiles(
     """
     names = list(names or [f"p{round(100 * p)}" for p in probabilities])
     largest = _most_distinct(df, column, keys)
-    if largest <= group_rows:
+    if largest <= min(group_rows, PERCENTILE_VALUES):
         found = df.groupBy(*keys).agg(F.percentile(column, F.array(*[F.lit(float(p)) for p in probabilities])).alias("_p"))
         return found.select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
     scan = _value_scan(df, column, keys, largest, group_rows)
@@ -226,7 +227,7 @@ def quantile_grid(df: DataFrame, column: str, points: int, group_rows: int = GRO
     """
     steps = points - 1
     largest = _most_distinct(df, column, ())
-    if largest <= group_rows:
+    if largest <= min(group_rows, PERCENTILE_VALUES):
         shares = F.array(*[F.lit(i / steps) for i in range(points)])
         return [float(v) for v in df.agg(F.percentile(column, shares)).first()[0]]
     scan = _value_scan(df, column, (), largest, group_rows)

@@ -110,7 +110,7 @@ def with_feature_category(
     """Adds the category of each feature name, ``none`` for unknown names."""
     pairs = [(f, c) for c, names in (categories or S.FEATURE_CATEGORIES).items() for f in names]
     table = df.sparkSession.createDataFrame(pairs, f"{column} string, category string")
-    return lookup_with_default(df, table, column, "category", "none")
+    return lookup_with_default(df, table, column, "category", "none", computed=False)
 
 
 def load_window(trips: DataFrame, start: int, end: int, column: str = "time_start") -> DataFrame:

@@ -26,9 +26,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that both engines agree to the last digit shown; adding 0 turns -0 into 0."""
+    """Doubles rounded, so that both engines agree to the last digit shown; adding 0 turns -0 into 0.
+
+    Spark's own round goes through decimals, at several times the cost of the features it rounds here.
+    """
     names = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
+    unit = 10.0**digits
+    return df.withColumns({n: F.floor(F.col(n) * unit + 0.5) / unit + F.lit(0.0) for n in names})
 
 
 def rounded_sql(columns: str, digits: int = 6) -> str:

@@ -71,9 +71,8 @@ def window_metrics_streamed(spark, folder):
     rows.limit(0).write.parquet(inbox)
     stream = L.windowed_metrics_stream(L.read_inbox(spark, inbox).select("task", "ts", "error"), WINDOW)
     running = L.append_sink(stream, sink, checkpoint, "update")
-    last = rows.agg(F.max("ts")).first()[0] + 1
     try:
-        cuts = [0, last // 3, 2 * last // 3, last]
+        cuts = L.slice_cuts(rows, "ts", WINDOW, most_seconds=10 * 86_400)
         L.replay(rows, "ts", cuts, inbox, lambda start, end: running.processAllAvailable())
     finally:
         running.stop()
@@ -309,12 +308,10 @@ def score_with_versions(rows, versions):
 
 @query("drift_lifecycle_streamed")
 def drift_lifecycle_streamed(spark, folder):
-    """Three days a slice through scoring, detection, retraining request and swap; the transition events of all tasks."""
+    """Six days a slice, less where they are crowded, through scoring, detection, retraining request and swap; the transition events of all tasks."""
     rows = I.errors(spark, folder).select("task", "ts", "seq", "truth", "prediction")
     loop = L.ReplayLoop(
         spark, shared_path(spark, "replay"), score_with_versions, lambda task, start, end: "v2",
         {t: "v1" for t in I.TASKS}, SETTINGS, WINDOW,
     )
-    last = rows.agg(F.max("ts")).first()[0] + 1
-    cuts = sorted({*range(0, last, 6 * 86_400), last})
-    return loop.run(rows, "ts", cuts).drop("batch")
+    return loop.run(rows, "ts", L.slice_cuts(rows, "ts", WINDOW, most_seconds=6 * 86_400)).drop("batch")

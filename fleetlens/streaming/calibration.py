@@ -121,7 +121,7 @@ def choose_candidates(errors: DataFrame, detector: str, settings: DetectorSettin
     values = spark.createDataFrame(
         [(i, [float(v) for v in c]) for i, c in enumerate(options)], "candidate int, parameters array<double>"
     )
-    return lookup(picked, values, "candidate")
+    return lookup(picked, values, "candidate", computed=False)
 
 
 def spc_calibration(errors: DataFrame, settings: DetectorSettings, **layout) -> DataFrame:

@@ -167,6 +167,24 @@ def read_sink(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch long").parquet(path)
 
 
+def slice_cuts(
+    rows: DataFrame, time: str, tick: int = S.WINDOW_SECONDS, most_rows: int = 1_000_000, most_seconds: int | None = None
+) -> list[int]:
+    """Borders of replay slices on the tick grid: at most ``most_rows`` of a task in a slice (a single tick apart), so
+    that what one task of the monitor holds at a time is bounded. The driver sees one count per tick.
+    """
+    start = (F.floor(F.col(time) / tick) * tick).alias("start")
+    busiest = rows.groupBy("task", start).count().groupBy("start").agg(F.max("count").alias("n")).orderBy("start")
+    cuts, held, last = [0], 0, 0
+    for begin, n in busiest.collect():
+        full = held + n > most_rows or (most_seconds is not None and begin - cuts[-1] >= most_seconds)
+        if full and begin > cuts[-1]:
+            cuts.append(begin)
+            held = 0
+        held, last = held + n, begin + tick
+    return [*cuts, last]
+
+
 def replay(rows: DataFrame, time: str, cuts: Sequence[int], inbox: str, after: Callable[[int, int], None]) -> None:
     """The replay clock: publishes the rows of one time slice after the other and lets the streams catch up.
 

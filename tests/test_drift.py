@@ -212,3 +212,12 @@ def test_notifications_and_collection(spark):
     assert tuple(got) == ("a", 300, 7500)
     assert [t for t, *_ in B.clock_notifications()] == [0, 36_000, 72_000]
     assert I.TASKS == sorted(I.TASKS)
+
+
+def test_slices_are_bounded_by_rows_and_time(spark):
+    errors = error_frame(spark, {"a": np.ones(1000), "b": np.ones(10)})
+    cuts = L.slice_cuts(errors, "ts", 300, most_rows=200)
+    assert cuts[0] == 0 and cuts[-1] >= 10_000 and all(c % 300 == 0 for c in cuts)
+    for start, end in zip(cuts, cuts[1:]):
+        assert errors.where(f"task = 'a' AND ts >= {start} AND ts < {end}").count() <= 200
+    assert L.slice_cuts(errors, "ts", 300, most_seconds=3000) == [0, 3000, 6000, 9000, 10_200]

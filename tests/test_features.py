@@ -172,14 +172,15 @@ def test_after_first_keeps_the_rest(spark):
     assert adaptation.after_first(df, 60, ["id"]).count() == 0
 
 
-def test_nearest_within_matches_brute_force(spark):
+@pytest.mark.parametrize("per_cell", [1000, 40, 2])
+def test_nearest_within_matches_brute_force(spark, per_cell):
     rng = np.random.default_rng(2)
     points = [(float(x), float(y)) for x, y in np.vstack([rng.uniform(-50, 50, (200, 2)), rng.normal(0, 1, (200, 2))])]
     points += [points[0]] * 30 + [(900.0, 900.0)]
     targets = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([rng.uniform(-50, 50, (60, 2)), rng.normal(0, 1, (300, 2))]))]
     got = joins.nearest_within(
         spark.createDataFrame(points, "x double, y double"),
-        spark.createDataFrame(targets, "target_id int, x double, y double"), 12.0,
+        spark.createDataFrame(targets, "target_id int, x double, y double"), 12.0, per_cell=per_cell,
     ).collect()
     assert len(got) == len(points)
     for r in got:
