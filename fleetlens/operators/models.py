@@ -55,8 +55,15 @@ def create_model(kind: str, features: Sequence[str], target: str, seed: int = 42
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), regressor])
 
 
-def model_features(model: PipelineModel) -> list[str]:
-    return model.stages[0].getInputCols()
+def model_features(model: PipelineModel | WarmStarted) -> list[str]:
+    return model.stages[0].getInputCols() if hasattr(model, "stages") else model_features(model.base)
+
+
+def tree_count(model: PipelineModel | WarmStarted) -> int:
+    """Boosted trees in the model; 0 for other kinds."""
+    if not hasattr(model, "stages"):
+        return tree_count(model.base) + model.n_new_trees
+    return len(getattr(model.stages[-1], "treeWeights", ()))
 
 
 def train(model: Pipeline, rows: DataFrame) -> tuple[PipelineModel, float]:
@@ -95,11 +102,9 @@ class WarmStarted:
         self.base, self.correction, self.n_new_trees = base, correction, n_new_trees
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        scored = self.base.transform(rows).withColumnRenamed("prediction", "_base").drop("features")
-        return self.correction.transform(scored).withColumn("prediction", F.col("_base") + F.col("prediction")).drop("_base")
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        return self.predict(rows)
+        scored = predict(self.base, rows).withColumnRenamed("prediction", "_base")
+        both = self.correction.transform(scored).withColumn("prediction", F.col("_base") + F.col("prediction"))
+        return both.drop("_base", "features")
 
 
 def new_trees(base_trees: int, n_samples: int, n_training: int, shrink: float = S.SHRINK_FACTOR) -> int:
@@ -114,18 +119,18 @@ def new_trees_column(base_trees: str | Column, n_samples: str | Column, n_traini
 
 
 def retrain(
-    base: PipelineModel, kind: str, rows: DataFrame, target: str, n_training: int, shrink: float = S.SHRINK_FACTOR,
-    **parameters,
+    base: PipelineModel | WarmStarted, kind: str, rows: DataFrame, target: str, n_training: int,
+    shrink: float = S.SHRINK_FACTOR, **parameters,
 ) -> PipelineModel | WarmStarted:
     """Warm start on the rows of a window; a linear model is simply refitted, an empty window is an error."""
     features = model_features(base)
     n = rows.count()
     if not n:
         raise ValueError("no rows to retrain on")
-    if not hasattr(base.stages[-1], "treeWeights"):
+    if not tree_count(base):
         return create_model(kind, features, target, **parameters).fit(rows)
-    budget = new_trees(len(base.stages[-1].treeWeights), n, n_training, shrink)
-    left = base.transform(rows).withColumn("_left", F.col(target) - F.col("prediction")).drop("features", "prediction")
+    budget = new_trees(tree_count(base), n, n_training, shrink)
+    left = predict(base, rows).withColumn("_left", F.col(target) - F.col("prediction")).drop("prediction")
     correction = create_model(kind, features, "_left", **{**parameters, "maxIter": budget}).fit(left)
     return WarmStarted(base, correction, budget)
 

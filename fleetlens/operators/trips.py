@@ -102,6 +102,10 @@ def fuel_trips(fcd: DataFrame, min_points: int = S.FUEL_MIN_POINTS, prefer: Sequ
     return create_trip_features(single, min_points)
 
 
+def _trip_name() -> Column:
+    return F.concat_ws("_", F.col("vehicle_id").cast("string"), F.col("trip_segment").cast("string"))
+
+
 def split_at_gaps(
     fcd: DataFrame,
     is_break: Callable[[Column], Column] = lambda step: step != 1,
@@ -114,8 +118,7 @@ def split_at_gaps(
     step = F.col("timestep_time") - F.col("_before")
     starts = F.when(F.col("_before").isNull() | is_break(step), 1).otherwise(0)
     laid = laid.running(trip_segment=("sum", starts))
-    name = F.concat_ws("_", F.col("vehicle_id").cast("string"), F.col("trip_segment").cast("string"))
-    return laid.with_rows(laid.df.withColumn("trip_id", name).drop("_before"))
+    return laid.with_rows(laid.df.withColumn("trip_id", _trip_name()).drop("_before"))
 
 
 def mark_stops(laid: OrderedRows, stopped: Column) -> OrderedRows:
@@ -166,14 +169,14 @@ def extract_stop_trips(
         if routed
         else [F.lit(0).cast("long").alias("route_num_edges"), F.lit(0).cast("long").alias("route_unique_edges")]
     )
-    grouped = records.groupBy("trip_id", "vehicle_id").agg(
+    grouped = records.groupBy("vehicle_id", "trip_segment").agg(
         F.min_by(point, at).alias("_a"), F.max_by(point, at).alias("_b"),
         F.sum("stop_start").alias("actual_stops"), F.count(F.lit(1)).alias("n_records"), *edges,
     )
     a, b = "_a.vehicle_", "_b.vehicle_"
     ratio = F.try_divide(F.col("route_unique_edges").cast("double"), F.col("route_num_edges"))
     trips = grouped.select(
-        "trip_id", "vehicle_id",
+        _trip_name().alias("trip_id"), "vehicle_id",
         F.col(f"{a}x").alias("trip_start_x"), F.col(f"{a}y").alias("trip_start_y"),
         F.col(f"{b}x").alias("trip_end_x"), F.col(f"{b}y").alias("trip_end_y"),
         (F.col(f"{b}odometer") - F.col(f"{a}odometer")).alias("actual_distance"),

@@ -10,6 +10,7 @@ from fleetlens.plans import inputs as I
 from fleetlens.plans.catalog import query, rounded
 from fleetlens.session import shared_path
 from fleetlens.streaming import batch as B, calibration as K, lifecycle as L
+from fleetlens.streaming.serving import ModelServing
 
 # The error table has some 2,000 points per task at scale 0.01, so counts are smaller than the defaults.
 SETTINGS = K.DetectorSettings(
@@ -70,7 +71,8 @@ def window_metrics_streamed(spark, folder):
     inbox, sink, checkpoint = (shared_path(spark, n) for n in ("inbox", "sink", "progress"))
     rows.limit(0).write.parquet(inbox)
     stream = L.windowed_metrics_stream(L.read_inbox(spark, inbox).select("task", "ts", "error"), WINDOW)
-    running = L.append_sink(stream, sink, checkpoint, "update")
+    with L.state_partitions(spark, 64):
+        running = L.append_sink(stream, sink, checkpoint, "update")
     try:
         cuts = L.slice_cuts(rows, "ts", WINDOW, most_seconds=10 * 86_400)
         L.replay(rows, "ts", cuts, inbox, lambda start, end: running.processAllAvailable())
@@ -315,3 +317,23 @@ def drift_lifecycle_streamed(spark, folder):
         {t: "v1" for t in I.TASKS}, SETTINGS, WINDOW,
     )
     return loop.run(rows, "ts", L.slice_cuts(rows, "ts", WINDOW, most_seconds=6 * 86_400)).drop("batch")
+
+
+@query("replay_with_retraining")
+def replay_with_retraining(spark, folder):
+    """The whole loop on real models: trained on the first days, watched, retrained on the drifted days, swapped.
+
+    Gives the MAE per task before the drift, from the drift to the swap, and after it.
+    """
+    trips = I.errors(spark, folder).select("task", "ts", "seq", "truth", "prediction")
+    root = shared_path(spark, "serving")
+    serving = ModelServing(spark, f"{root}/models", trips, I.TASKS, ["prediction"], "truth")
+    versions = serving.start(4 * 86_400)
+    loop = L.ReplayLoop(spark, f"{root}/replay", serving.score, serving.retrain, versions, SETTINGS, WINDOW)
+    events = loop.run(trips, "ts", L.slice_cuts(trips, "ts", WINDOW, most_seconds=6 * 86_400))
+    errors = spark.read.schema(L.INPUT).parquet(loop.errors).where("control IS NULL")
+    moments = events.groupBy("task").agg(
+        F.min(F.when(F.col("event") == "drifted", F.col("ts"))).alias("detected_at"),
+        F.min(F.when(F.col("event") == "swapped", F.col("ts"))).alias("swapped_at"),
+    )
+    return reports.run_facts(B.window_metrics(errors, WINDOW), moments, I.SECOND_SCENARIO)

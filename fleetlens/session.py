@@ -47,8 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/fleetlens/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed by :func:`drop_staged`."""
+    path = f"{shared_folder(spark)}/fleetlens/{label}-{uuid.uuid4().hex}"
+    _staged.append((spark.sparkContext.applicationId, path))
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -60,12 +62,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    _staged.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:
-    """Remove the tables staged by this application; call it when their results have been written."""
+    """Remove what this application put into the shared folder; call it when the results have been written."""
     app = spark.sparkContext.applicationId
     jvm = spark.sparkContext._jvm
     mine = [path for owner, path in _staged if owner == app]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.operators.joins import is_small
+from fleetlens.operators.models import WarmStarted
 from fleetlens.operators.ordered import OrderedRows
 from fleetlens.sources import files
 
@@ -40,21 +41,34 @@ class ModelRegistry:
         known = self.versions()
         return f"v{int(known[-1][1:]) + 1}" if known else "v1"
 
-    def save(self, model: PipelineModel, version: str, metadata: dict) -> None:
-        model.write().overwrite().save(f"{self.folder}/{version}/model")
+    def save(self, model: PipelineModel | WarmStarted, version: str, metadata: dict) -> None:
+        """Writes the model, and the correction of a warm-started one, before the metadata that makes it complete."""
+        folder = f"{self.folder}/{version}"
+        if isinstance(model, WarmStarted):
+            self._save_base(model.base, folder)
+            model.correction.write().overwrite().save(f"{folder}/correction")
+            metadata = {**metadata, "n_estimators": model.n_new_trees}
+        else:
+            self._save_base(model, folder)
         text = json.dumps({"ml_task": self.task, "version": version, **metadata})
         rows = self.spark.createDataFrame([(text,)], "value string").coalesce(1)
-        rows.write.mode("overwrite").text(f"{self.folder}/{version}/metadata")
+        rows.write.mode("overwrite").text(f"{folder}/metadata")
 
-    def load(self, version: str = "v1") -> tuple[PipelineModel, dict] | None:
+    def _save_base(self, model: PipelineModel, folder: str) -> None:
+        model.write().overwrite().save(f"{folder}/model")
+
+    def load(self, version: str = "v1") -> tuple[PipelineModel | WarmStarted, dict] | None:
         """Model and metadata, or None if there is no such version."""
-        path = f"{self.folder}/{version}"
-        if not files.exists(self.spark, f"{path}/model"):
+        folder = f"{self.folder}/{version}"
+        if not files.exists(self.spark, f"{folder}/model"):
             return None
         stored = {}
-        if files.exists(self.spark, f"{path}/metadata"):
-            stored = json.loads(self.spark.read.text(f"{path}/metadata").first()[0])
-        return PipelineModel.load(f"{path}/model"), stored
+        if files.exists(self.spark, f"{folder}/metadata"):
+            stored = json.loads(self.spark.read.text(f"{folder}/metadata").first()[0])
+        model = PipelineModel.load(f"{folder}/model")
+        if files.exists(self.spark, f"{folder}/correction"):
+            model = WarmStarted(model, PipelineModel.load(f"{folder}/correction"), stored.get("n_estimators", 0))
+        return model, stored
 
 
 def version_in_force(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -153,6 +154,22 @@ def read_inbox(spark: SparkSession, inbox: str, schema: str = INPUT, **options:
     return spark.readStream.schema(schema).options(**options).parquet(inbox)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, keys: int) -> Iterator[None]:
+    """Streams started inside keep their state in at most ``keys`` partitions.
+
+    A query fixes the number when it first starts. Every partition is committed with every micro-batch, so hundreds of
+    them for a handful of tasks would be all overhead.
+    """
+    name = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(int(usual), keys))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def append_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Every micro-batch to its own folder, overwritten if it is run again, so a retried batch leaves no copies."""
 
@@ -250,10 +267,9 @@ class ReplayLoop:
             self.spark.readStream.schema(schema).parquet(self.inbox).writeStream.foreachBatch(score_batch)
             .option("checkpointLocation", f"{self.folder}/scoring").start()
         )
-        watch = append_sink(
-            monitor_stream(read_inbox(self.spark, self.errors), self.settings, self.seconds), self.sink,
-            f"{self.folder}/watch",
-        )
+        with state_partitions(self.spark, len(self.versions)):
+            events = monitor_stream(read_inbox(self.spark, self.errors), self.settings, self.seconds)
+            watch = append_sink(events, self.sink, f"{self.folder}/watch")
 
         def after(start: int, end: int) -> None:
             scoring.processAllAvailable()

@@ -199,3 +199,32 @@ def test_importance_files_without_the_columns_are_skipped(spark, tmp_path):
     assert [tuple(r) for r in got] == [("features_selection_gain", "m", "a", 1.5, 60.0)]
     assert R.load_feature_ranking_results(spark, str(tmp_path)).first()["category"] == "cell"
     assert R.load_feature_ranking_results(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_warm_started_models_are_registered_and_continued(spark, rows, tmp_path):
+    base = M.create_model("xgboost", ["a", "b"], "y", maxIter=4, maxDepth=3).fit(rows)
+    first = M.retrain(base, "xgboost", rows.withColumn("y", F.col("y") + 10), "y", 600, maxDepth=2)
+    registry = ModelRegistry(spark, str(tmp_path), "eta")
+    registry.save(first, "v2", {"model": "xgboost"})
+    loaded, metadata = registry.load("v2")
+    assert metadata["n_estimators"] == 10 and M.tree_count(loaded) == 14
+    same = lambda m: [r["prediction"] for r in M.predict(m, rows).orderBy("id").collect()]
+    assert np.allclose(same(loaded), same(first))
+    second = M.retrain(loaded, "xgboost", rows, "y", 600, maxDepth=2)
+    assert M.tree_count(second) == 24 and M.model_features(second) == ["a", "b"]
+
+
+def test_serving_scores_and_retrains_each_task_on_its_own(spark, tmp_path):
+    from fleetlens.streaming.serving import ModelServing
+
+    data = [(t, ts, i, float(i % 7), (i % 7) * k + (40.0 if ts >= 50 else 0.0))
+            for t, k in (("a", 2.0), ("b", 5.0)) for i, ts in enumerate(range(100))]
+    trips = spark.createDataFrame(data, "task string, ts long, seq long, x double, y double").cache()
+    serving = ModelServing(spark, str(tmp_path), trips, ["a", "b"], ["x"], "y")
+    versions = serving.start(50)
+    mae = lambda v, t: serving.score(trips.where("ts >= 50"), v).where(F.col("task") == t).agg(F.avg("error")).first()[0]
+    assert versions == {"a": "v1", "b": "v1"} and mae(versions, "a") > 30
+    assert serving.retrain("a", 50, 80) == "v2"
+    assert mae(serving.versions, "a") < 1e-6 and mae(serving.versions, "b") > 30
+    with pytest.raises(ValueError):
+        serving.retrain("b", 500, 600)
