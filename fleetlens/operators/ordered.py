@@ -199,7 +199,8 @@ def exact_percentiles(
     names = list(names or [f"p{round(100 * p)}" for p in probabilities])
     largest = _most_distinct(df, column, keys)
     if largest <= min(group_rows, PERCENTILE_VALUES):
-        found = df.groupBy(*keys).agg(F.percentile(column, F.array(*[F.lit(float(p)) for p in probabilities])).alias("_p"))
+        present = df.where(F.col(column).isNotNull())
+        found = present.groupBy(*keys).agg(F.percentile(column, F.array(*[F.lit(float(p)) for p in probabilities])).alias("_p"))
         return found.select(*keys, *[F.get("_p", F.lit(i)).alias(n) for i, n in enumerate(names)])
     scan = _value_scan(df, column, keys, largest, group_rows)
     picks = []

@@ -325,9 +325,9 @@ def replay_with_retraining(spark, folder):
 
     Gives the MAE per task before the drift, from the drift to the swap, and after it.
     """
-    trips = I.errors(spark, folder).select("task", "ts", "seq", "truth", "prediction")
+    trips = I.errors(spark, folder).select("task", "ts", "seq", "truth", F.col("prediction").alias("level"))
     root = shared_path(spark, "serving")
-    serving = ModelServing(spark, f"{root}/models", trips, I.TASKS, ["prediction"], "truth")
+    serving = ModelServing(spark, f"{root}/models", trips, I.TASKS, ["level"], "truth")
     versions = serving.start(4 * 86_400)
     loop = L.ReplayLoop(spark, f"{root}/replay", serving.score, serving.retrain, versions, SETTINGS, WINDOW)
     events = loop.run(trips, "ts", L.slice_cuts(trips, "ts", WINDOW, most_seconds=6 * 86_400))
