@@ -27,21 +27,27 @@ def generate_trips(
 ) -> DataFrame:
     """One trip per vehicle from its first and last record.
 
-    ``min_by``/``max_by`` are combined before the shuffle, so nothing is sorted and no vehicle is too long. Without
-    ``tiebreak`` the order is the time alone and the aggregation buffers stay primitive (hash aggregation); give
-    columns only where a vehicle can have several records in one second.
+    The ends are aggregates that combine before the shuffle, so no vehicle is too long for a task. Without ``tiebreak``
+    the order is the time alone and the buffers stay primitive (hash aggregation, nothing sorted); give columns only
+    where a vehicle can have several records in one second.
     """
-    at = F.struct("timestep_time", *tiebreak) if tiebreak else F.col("timestep_time")
-    ends = fcd.groupBy("vehicle_id").agg(
-        F.min_by("vehicle_x", at).alias("source_x"),
-        F.min_by("vehicle_y", at).alias("source_y"),
-        F.max_by("vehicle_x", at).alias("destination_x"),
-        F.max_by("vehicle_y", at).alias("destination_y"),
-        F.min_by("vehicle_odometer", at).alias("_from"),
-        F.max_by("vehicle_odometer", at).alias("_to"),
-        F.min("timestep_time").alias("time_start"),
-        F.max("timestep_time").alias("_end"),
-    )
+    if tiebreak:
+        point = F.struct("timestep_time", *tiebreak, "vehicle_x", "vehicle_y", "vehicle_odometer")
+        found = fcd.groupBy("vehicle_id").agg(F.min(point).alias("_a"), F.max(point).alias("_b"))
+        ends = found.select(
+            "vehicle_id", F.col("_a.vehicle_x").alias("source_x"), F.col("_a.vehicle_y").alias("source_y"),
+            F.col("_b.vehicle_x").alias("destination_x"), F.col("_b.vehicle_y").alias("destination_y"),
+            F.col("_a.vehicle_odometer").alias("_from"), F.col("_b.vehicle_odometer").alias("_to"),
+            F.col("_a.timestep_time").alias("time_start"), F.col("_b.timestep_time").alias("_end"),
+        )
+    else:
+        at = F.col("timestep_time")
+        ends = fcd.groupBy("vehicle_id").agg(
+            F.min_by("vehicle_x", at).alias("source_x"), F.min_by("vehicle_y", at).alias("source_y"),
+            F.max_by("vehicle_x", at).alias("destination_x"), F.max_by("vehicle_y", at).alias("destination_y"),
+            F.min_by("vehicle_odometer", at).alias("_from"), F.max_by("vehicle_odometer", at).alias("_to"),
+            F.min(at).alias("time_start"), F.max(at).alias("_end"),
+        )
     trips = ends.withColumns(
         {"duration": F.col("_end") - F.col("time_start"), "distance": F.col("_to") - F.col("_from")}
     )

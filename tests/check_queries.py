@@ -1,4 +1,7 @@
-"""Runs registered queries beside their SQL twins: ``python tests/check_queries.py [folder] [name ...]``."""
+"""Runs registered queries beside their SQL twins: ``python tests/check_queries.py [--chunked] [folder] [name ...]``.
+
+``--chunked`` sets the size limits so low that every ordered scan is cut into chunks and every lookup is salted.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb  # noqa: E402
 
+from fleetlens import settings  # noqa: E402
+
+if __name__ == "__main__" and "--chunked" in sys.argv:  # before the operators take the limits as their defaults
+    sys.argv.remove("--chunked")
+    settings.GROUP_ROWS, settings.LOOKUP_ROWS = 40, 4
+
 import __spark_entry__ as entry  # noqa: E402
 from fleetlens.session import build_session  # noqa: E402
 
@@ -45,7 +54,10 @@ def canonical(rows, columns) -> list:
 
 
 def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
-    df = entry.queries()[name](spark, folder)
+    return compare_rows(entry.queries()[name](spark, folder), con, name)
+
+
+def compare_rows(df, con, name: str) -> tuple[bool, str]:
     got = canonical(df.collect(), df.columns)
     sql = entry.oracle_sql().get(name)
     if sql is None:
