@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, quality_rules, sharding
+from fleetlens.llm import bpe, mixing, quality_rules, sharding
 from fleetlens.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, folder, "documents"))
 
 
+def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trips(table(spark, folder, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -26,6 +30,7 @@ def op10_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_source_mix": op9_source_mix,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
