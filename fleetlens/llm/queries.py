@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, mixing, quality_rules, sharding
-from fleetlens.llm.common import table
+from fleetlens.llm import bpe, minhash_dedup, mixing, quality_rules, sharding, topk_search
+from fleetlens.llm.common import stage, table
+
+
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op2_threshold_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = stage(topk_search.levels(table(spark, folder, "embeddings")), "levels")
+    return topk_search.exact_top_k(vectors, vectors.filter("id % 50 = 0"))
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,12 +39,16 @@ def op10_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_threshold_top_k": op2_threshold_top_k,
     "op3_quality_rules": op3_quality_rules,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_source_mix": op9_source_mix,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
 TWINS = {
+    "op1_minhash_dedup": minhash_dedup.SQL,
+    "op2_threshold_top_k": topk_search.SQL,
     "op3_quality_rules": quality_rules.SQL,
     "op9_source_mix": mixing.SQL,
     "op10_sampled_splitters": sharding.SQL,
