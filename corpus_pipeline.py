@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import mixing, quality_rules
+from fleetlens.llm import bpe, minhash_dedup, mixing, quality_rules, secret_scan
 from fleetlens.llm.common import stage, table
 
 
@@ -13,12 +13,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return minhash_dedup.keep_one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality_rules", quality), ("mixing", mixture)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document of the mix: doc_id, n_tokens, and digests of its tokens and of the text they decode to."""
+    return bpe.round_trips(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("minhash_dedup", near_duplicates),
+    ("secret_scan", secrets),
+    ("source_mix", mixture),
+    ("bpe", tokens),
+]
 ORACLE_SQL = None
 
 

@@ -274,7 +274,7 @@ def round_trips(docs: DataFrame, id: str = "doc_id", text: str = "text", path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            found = [digests(v, t) for t in map(pa.Scalar.as_py, batch.column(1))]
+            found = [digests(v, t.as_py()) for t in batch.column(1)]
             n, a, b = zip(*found) if found else ((), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
