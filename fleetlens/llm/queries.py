@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, minhash_dedup, mixing, quality_rules, secret_scan, sharding, topk_search
+from fleetlens.llm import bpe, minhash_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup, topk_search
 from fleetlens.llm.common import stage, table
 
 
@@ -27,10 +27,18 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secrets(table(spark, folder, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeats_report(table(spark, folder, "documents"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trips(table(spark, folder, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeats_report(table(spark, folder, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -47,7 +55,9 @@ QUERIES = {
     "op2_threshold_top_k": op2_threshold_top_k,
     "op3_quality_rules": op3_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_sampled_splitters": op10_sampled_splitters,
 }
@@ -55,6 +65,7 @@ TWINS = {
     "op1_minhash_dedup": minhash_dedup.SQL,
     "op2_threshold_top_k": topk_search.SQL,
     "op3_quality_rules": quality_rules.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
     "op9_source_mix": mixing.SQL,
     "op10_sampled_splitters": sharding.SQL,
 }
