@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, minhash_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup, topk_search
+from fleetlens.llm import bpe, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup, topk_search
 from fleetlens.llm.common import stage, table
 
 
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, folder, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secrets(table(spark, folder, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_threshold_top_k": op2_threshold_top_k,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_secret_scan": op5_secret_scan,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_bpe_round_trip": op7_bpe_round_trip,
