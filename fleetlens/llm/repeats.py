@@ -177,7 +177,8 @@ def _grouped(packed: DataFrame, units: Units) -> DataFrame:
     source = packed.select("minimiser", "digest", "id", "start", "content")
     rows = arrow_map(source, run, "minimiser long, digest long, i int, id long, start int, window binary")
     rows = stage(rows.withColumn("window", F.md5("window")), "hot-windows")
-    first = rows.groupBy("window").agg(F.min(F.struct("id", "start")).alias("first"))
+    # stored, so that the join deals its rows out anew and Spark can split a window that most contents have
+    first = stage(rows.groupBy("window").agg(F.min(F.struct("id", "start")).alias("first")), "window-places")
     placed = rows.select("minimiser", "digest", "i", "window").join(first, "window")
     lists = placed.groupBy("minimiser", "digest").agg(F.array_sort(F.collect_list(F.struct("i", "first"))).alias("x"))
     return lists.select("minimiser", "digest", F.col("x.first.id").alias("ids"), F.col("x.first.start").alias("starts"))
