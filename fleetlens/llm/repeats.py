@@ -5,10 +5,11 @@ the least hash of its grams of ``gram`` units, a function of the window's conten
 minimiser travel together as one run (a super-k-mer).
 
 1. One scan cuts every text into runs: document, start, number of windows, minimiser and a digest of the content.
-2. Runs with equal content combine before the shuffle; the first place is kept of each.
+   Runs that are alone with their minimiser are done.
+2. Of the others, runs with equal content combine before the shuffle; the first place is kept of each.
 3. A minimiser with one content only has no windows to compare. Of the others each content is packed once, from its
    first place, and goes to its minimiser's bucket, where its windows are sorted; each gets the first place of all.
-   A minimiser with more than ``most`` contents, or ``MOST_WINDOWS`` windows, is hot: its windows are grouped by Spark instead, content by content.
+   A minimiser with more than ``most`` windows is hot: its windows are grouped by Spark instead, content by content.
 4. Every run asks for its content's first places; windows with an earlier one cover what is removed.
 
 Ids are integers; a null id comes after all others. Copies of one row (equal id and text) are one document here.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import arrow_map, no_text, stage
 
 LAST = (1 << 63) - 1
-MOST, MOST_WINDOWS, BATCH = 512, 1 << 15, 1 << 18
+MOST, BATCH = 1 << 17, 1 << 18
 
 RUNS = "id long, th long, start int, n int, minimiser long, digest long, again boolean"
 _RUNS = pa.schema([
@@ -187,7 +188,11 @@ def _grouped(packed: DataFrame, units: Units) -> DataFrame:
 def removed_windows(docs: DataFrame, units: Units, id: str, text: str, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """The texts (id, th, text), and per document (id, th) its ``spans`` of removed windows: first, last + 1."""
     texts = _texts(docs, id, text)
-    runs = stage(_runs(texts, units), "runs")
+    cut = stage(_runs(texts, units), "runs")
+    # a minimiser of one run says nothing: most of a clean corpus ends here, after a shuffle of one number a run
+    shared = cut.groupBy("minimiser").agg(F.count("*").alias("runs"), F.max("again").alias("again"))
+    shared = shared.filter((F.col("runs") > 1) | (F.col("again") if units.within else F.lit(False))).select("minimiser")
+    runs = stage(cut.join(stage(shared, "shared-minimisers").hint("shuffle_hash"), "minimiser", "left_semi"), "shared-runs")
     place = F.struct("id", "start", "th", "n")
     contents = runs.groupBy("minimiser", "digest").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("again").alias("again"))
     contents = contents.select(
@@ -199,7 +204,7 @@ def removed_windows(docs: DataFrame, units: Units, id: str, text: str, most: int
         F.sum("n").alias("windows"),
     )
     several = (F.col("contents") > 1) | (F.col("inside") if units.within else F.lit(False))
-    counted = counted.filter(several | F.col("any")).select("minimiser", several.alias("several"), ((F.col("contents") > most) | (F.col("windows") > MOST_WINDOWS)).alias("hot"))
+    counted = counted.filter(several | F.col("any")).select("minimiser", several.alias("several"), (F.col("windows") > most).alias("hot"))
     chosen = stage(contents.join(counted, "minimiser"), "contents")
     packed = stage(_packed(texts, chosen.filter("several"), units), "packed")
     solved = _solved(packed.filter("not hot"), units).unionByName(_grouped(packed.filter("hot"), units))
