@@ -185,6 +185,38 @@ def _grouped(packed: DataFrame, units: Units) -> DataFrame:
     return lists.select("minimiser", "digest", F.col("x.first.id").alias("ids"), F.col("x.first.start").alias("starts"))
 
 
+def _hits(asked: DataFrame, within: bool) -> DataFrame:
+    """Stretches of windows with an earlier first place: id, th, first, last + 1.
+
+    Where a content is alone under its minimiser, only its own first place is given, and its windows follow from there.
+    """
+
+    def stretches(batch: pa.RecordBatch) -> pa.RecordBatch:
+        id, th, start, n = (np.asarray(batch.column(i)) for i in range(4))
+        sizes = np.asarray(batch.column(4).value_lengths()).astype(np.int64)
+        ids, starts = np.asarray(batch.column(4).flatten()), np.asarray(batch.column(5).flatten())
+        row = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        listed = (sizes == n)[row]
+        at = (np.cumsum(sizes) - sizes)[row] + np.where(listed, j, 0)
+        hit = ids[at] < id[row]
+        if within:
+            hit |= (ids[at] == id[row]) & (starts[at] + np.where(listed, 0, j) < start[row] + j)
+        step = np.diff(np.concatenate([[False], hit]).astype(np.int8))
+        opens = hit & ((step == 1) | (j == 0))
+        closes = hit & (np.append(step[1:] == -1, True) | (j == n[row] - 1))
+        a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+        places = (start[row] + j).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (id[row[a]], th[row[a]], places[a], places[b] + np.int32(1))], ["id", "th", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                yield stretches(batch.slice(i, 4096))
+
+    return arrow_map(asked, run, "id long, th long, a int, b int")
+
+
 def removed_windows(docs: DataFrame, units: Units, id: str, text: str, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """The texts (id, th, text), and per document (id, th) its ``spans`` of removed windows: first, last + 1."""
     texts = _texts(docs, id, text)
@@ -212,24 +244,9 @@ def removed_windows(docs: DataFrame, units: Units, id: str, text: str, most: int
         "minimiser", "digest", F.array("id").alias("ids"), F.array("start").alias("starts")
     )
     firsts = stage(solved.unionByName(alone), "first-places")
-    # a content alone under its minimiser: all its windows are first where the content is
-    at = lambda c, j, step: F.when(F.size(c) == F.col("n"), F.get(c, j)).otherwise(F.get(c, F.lit(0)) + step * j)
-    own = F.col("start")
-    earlier_id = lambda j: at(F.col("ids"), j, 0) < F.col("id")
-    earlier = lambda j: earlier_id(j) | ((at(F.col("ids"), j, 0) == F.col("id")) & (at(F.col("starts"), j, 1) < own + j))
-    test = earlier if units.within else earlier_id
     asked = runs.select("id", "th", "start", "n", "minimiser", "digest").join(firsts, ["minimiser", "digest"])
-    hits = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: test(j))
-    asked = asked.select("id", "th", F.transform(hits, lambda j: own + j).alias("w")).filter(F.size("w") > 0)
-    ends = lambda x, i, step: F.coalesce(F.get("w", i + step) == x + step, F.lit(False))
-    asked = asked.select(
-        "id", "th",
-        F.arrays_zip(
-            F.filter("w", lambda x, i: ~ends(x, i, -1)).alias("a"),
-            F.transform(F.filter("w", lambda x, i: ~ends(x, i, 1)), lambda x: x + 1).alias("b"),
-        ).alias("spans"),
-    )
-    spans = asked.groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    hits = _hits(asked.select("id", "th", "start", "n", "ids", "starts"), units.within)
+    spans = hits.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return texts, stage(spans, "spans")
 
 

@@ -27,6 +27,8 @@ from fleetlens.llm.repeats import Units, covered, with_spans
 from fleetlens.llm.shingles import span_hashes
 
 WINDOW, GRAM = 100, 24
+#: Windows of one minimiser that one suffix array takes (about 350 MB of a task's memory); beyond, Spark groups them.
+MOST = 1 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -108,9 +110,9 @@ def byte_units(length: int = WINDOW, gram: int = GRAM) -> Units:
     )
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = WINDOW, gram: int = GRAM, **limits: int) -> DataFrame:
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept (the remaining bytes: a cut may part a character)."""
-    rows = with_spans(docs, [F.col(id).alias("_id")], byte_units(length, gram), id, text, **limits).select("_id", "_text", "_spans")
+    rows = with_spans(docs, [F.col(id).alias("_id")], byte_units(length, gram), id, text, most).select("_id", "_text", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
