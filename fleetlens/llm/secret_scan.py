@@ -36,8 +36,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 KINDS = ("assign", "access", "hex", "net")
 CONTEXT, PIECE, STEP = 24, 64, 48
-SAMPLE, MADE, RECALL, LEAST, SEED = 1500, 1500, 0.95, 0.9, 5
-EMBED, FILTERS, WIDTH, EPOCHS = 12, 32, 5, 8
+SAMPLE, MADE, RECALL, LEAST, SEED = 1500, 4000, 0.95, 0.5, 5
+EMBED, FILTERS, WIDTH, EPOCHS = 12, 32, 5, 10
 LENGTH = PIECE + 2 * CONTEXT
 
 Span = tuple[int, int, int]  # start, position of the kind in KINDS, end
