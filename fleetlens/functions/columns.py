@@ -38,14 +38,14 @@ def edge_of_lane(lane: str | Column) -> Column:
 
 
 def mixed_hash(number: str | Column, seed: int = 0) -> Column:
-    """Integer hash in [0, 2^31) from plain arithmetic, the same in any SQL engine and for any bigint."""
-    spread = F.pmod(as_column(number).cast("long"), F.lit(2147483647)) * F.lit(1103515245)
-    return F.pmod(spread + F.lit(12345 * (seed + 1)), F.lit(2147483648))
+    """Integer hash in [0, 2^31) from the MD5 of number and seed: the same in any SQL engine, and independent between seeds."""
+    text = F.concat(as_column(number).cast("long").cast("string"), F.lit(f":{seed}"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(2147483648))
 
 
 def mixed_hash_sql(number: str, seed: int = 0) -> str:
-    """SQL text of :func:`mixed_hash` for non-negative numbers."""
-    return f"(((({number}) % 2147483647) * 1103515245 + {12345 * (seed + 1)}) % 2147483648)"
+    """SQL text of :func:`mixed_hash`."""
+    return f"(('0x' || md5(({number})::BIGINT::VARCHAR || ':{seed}')[1:15])::BIGINT % 2147483648)"
 
 
 def nearest_centre(x: str | Column, y: str | Column, centres: Sequence[Sequence[float]]) -> Column:

@@ -155,8 +155,10 @@ def hold_out(
         else:
             model = create_model(kind, features, target, **settings).fit(train_rows)
         fitted = time.perf_counter()
-        scored = evaluate(predict(model, test_rows), target, "prediction").first()
-        rows.append((experiment, kind, fitted - start, 0.0, time.perf_counter() - fitted, scored["mae"], scored["mape"]))
+        predicted = stage(predict(model, test_rows).select(target, "prediction"), "predicted")
+        at = time.perf_counter()
+        scored = evaluate(predicted, target, "prediction").first()
+        rows.append((experiment, kind, fitted - start, at - fitted, time.perf_counter() - at, scored["mae"], scored["mape"]))
     return spark.createDataFrame(rows, "experiment string, model string, " + ", ".join(f"{m} double" for m in METRICS))
 
 
@@ -197,9 +199,11 @@ def cross_validate(
             else:
                 model = create_model(kind, columns, target, **settings).fit(learn)
             fitted = time.perf_counter()
-            scored = evaluate(predict(model, check), target, "prediction").first()
+            predicted = stage(predict(model, check).select(target, "prediction"), "predicted")
+            at = time.perf_counter()
+            scored = evaluate(predicted, target, "prediction").first()
             done = time.perf_counter()
-            rows.append((experiment, kind, int(fold), fitted - start, 0.0, done - fitted, scored["mae"], scored["mape"]))
+            rows.append((experiment, kind, int(fold), fitted - start, at - fitted, done - at, scored["mae"], scored["mape"]))
             if inspect:
                 inspected.append(inspect(kind, int(fold), model, check, columns))
         learn.unpersist()
@@ -208,11 +212,17 @@ def cross_validate(
     return spark.createDataFrame(rows, schema), inspected
 
 
-def gain_importance(model: PipelineModel, spark) -> DataFrame:
-    """(feature, importance, percentage) from the splits of a tree model, or |coefficient| of a linear one."""
+def _gains(model: PipelineModel | WarmStarted) -> np.ndarray:
+    """Shares per feature; a warm-started model weighs base and correction by their trees."""
+    if isinstance(model, WarmStarted):
+        return (_gains(model.base) * tree_count(model.base) + _gains(model.correction) * model.n_new_trees) / tree_count(model)
     last = model.stages[-1]
-    values = last.coefficients.toArray() if isinstance(last, LinearRegressionModel) else last.featureImportances.toArray()
-    values = np.abs(values)
+    return np.abs(last.coefficients.toArray() if isinstance(last, LinearRegressionModel) else last.featureImportances.toArray())
+
+
+def gain_importance(model: PipelineModel | WarmStarted, spark) -> DataFrame:
+    """(feature, importance, percentage) from the splits of a tree model, or |coefficient| of a linear one."""
+    values = _gains(model)
     total = values.sum()
     shares = values / total * 100 if total > 0 else np.zeros_like(values)
     rows = [(f, float(v), float(p)) for f, v, p in zip(model_features(model), values, shares)]

@@ -64,7 +64,7 @@ class OrderedRows:
         keys, order = tuple(keys), tuple(order)
         if (largest_group(df, keys) if largest is None else largest) <= group_rows:
             return cls(df.withColumn(CHUNK, F.lit(0)), keys, order, False)
-        n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // group_rows))
         placed = df.repartitionByRange(n, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
         return cls(stage(placed, "ordered"), keys, order, True)
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,10 @@ from fleetlens import settings as S
 from fleetlens.functions.columns import absolute_error, absolute_percentage_error, hour_of
 from fleetlens.operators.joins import lookup
 from fleetlens.operators.ordered import exact_percentiles
+from fleetlens.session import stage
+
+#: Over the rows where both columns of a pair have values: their number, sums, sums of squares, sum of products.
+SUMS = ["n", "a", "b", "aa", "bb", "ab"]
 
 
 def telemetry_per_hour(fcd: DataFrame, approximate: bool = False) -> DataFrame:
@@ -46,16 +49,18 @@ def trip_statistics(trips: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """Counts in equal-width bins, the last one closed; empty bins are left out. A constant column spreads by 1."""
+    """Counts in equal-width bins, the last one closed, empty bins with 0. A constant column spreads by 1, one without values gives no rows."""
     low, high = df.agg(F.min(column), F.max(column)).first()
+    every = df.sparkSession.range(bins if low is not None else 0).select(F.col("id").cast("int").alias("bin"))
+    low, high = low or 0, high or 0
     low, high = float(low), float(high)
     if low == high:
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
     at = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1)).cast("int")
     counted = df.where(F.col(column).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(
-        "bin", (F.col("bin") * width + low).alias("lower"), ((F.col("bin") + 1) * width + low).alias("upper"), "n"
+    return every.join(F.broadcast(counted), "bin", "left").select(
+        "bin", (F.col("bin") * width + low).alias("lower"), ((F.col("bin") + 1) * width + low).alias("upper"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
@@ -109,20 +114,36 @@ def box_outliers(df: DataFrame, by: str, value: str) -> DataFrame:
 def correlated_pairs(df: DataFrame, columns: Sequence[str], limit: float = S.CORRELATION_LIMIT) -> DataFrame:
     """Pairs of columns with |Pearson r| above ``limit``; feature_1 is the later column of the two.
 
-    Up to 20 columns take one aggregate that skips nulls pair by pair. More columns go through one pass over
-    vectors (Gram matrix), which needs rows without nulls. The result has at most columns^2 / 2 rows.
+    Nulls and NaN are skipped pair by pair at any width; a column that is constant over a pair's rows has no r. Every
+    task sums products of the standardised columns into columns^2 / 2 rows, which is also the most the result can have.
     """
-    spark = df.sparkSession
-    pairs = list(combinations(range(len(columns)), 2))
-    if len(columns) <= 20:
-        row = df.agg(*[F.corr(columns[i], columns[j]) for i, j in pairs]).first()
-        found = [(columns[j], columns[i], row[n]) for n, (i, j) in enumerate(pairs)]
-    else:
-        vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(df.select(*columns)).select("v")
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-        found = [(columns[j], columns[i], float(matrix[i, j])) for i, j in pairs]
-    rows = [(a, b, abs(r)) for a, b, r in found if r is not None and abs(r) > limit]
-    return spark.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
+    columns = list(columns)
+    number = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    rows = stage(df.select(*[x.alias(f"c{i}") for i, x in enumerate(number.values())]), "correlated")
+    fit = rows.agg(*[f(f"c{i}") for f in (F.avg, F.stddev_pop) for i in range(len(columns))]).first()
+    means, spreads = (np.array([x or 0.0 for x in part]) for part in (fit[: len(columns)], fit[len(columns) :]))
+    first, second = np.triu_indices(len(columns), 1)
+
+    def moments(batches):
+        sums = np.zeros((6, len(first)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            known = ~np.isnan(x)
+            x = np.where(known, (x - means) / np.where(spreads > 0, spreads, 1.0), 0.0)
+            m = known.astype(float)
+            both, at, of_square = x.T @ x, x.T @ m, (x * x).T @ m
+            parts = (m.T @ m, at, at.T, of_square, of_square.T, both)
+            sums += np.array([p[first, second] for p in parts])
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), pa.array(second, pa.int32()), *map(pa.array, sums)], ["i", "j", *SUMS])
+
+    schema = "i int, j int, " + ", ".join(f"{n} double" for n in SUMS)
+    total = rows.mapInArrow(moments, schema).groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in SUMS])
+    variance = lambda x, xx: F.try_divide(F.col(xx), "n") - F.try_divide(F.col(x), "n") ** 2
+    va, vb = variance("a", "aa"), variance("b", "bb")
+    shared = F.try_divide(F.col("ab"), "n") - F.try_divide(F.col("a"), "n") * F.try_divide(F.col("b"), "n")
+    r = F.when((va > 1e-12) & (vb > 1e-12), F.abs(F.try_divide(shared, F.sqrt(va * vb))))
+    names = F.array(*[F.lit(c) for c in columns])
+    return total.select(F.get(names, "j").alias("feature_1"), F.get(names, "i").alias("feature_2"), r.alias("correlation")).where(F.col("correlation") > limit)
 
 
 def scenario_change(df: DataFrame, scenario: str, first: str, second: str, measures: Sequence[str]) -> DataFrame:

@@ -140,18 +140,20 @@ def spc_calibration(spark, folder):
 
 @query(
     "spc_detection",
-    f"""WITH {SMOOTH_SQL}, w AS (SELECT placed.task, p, ts, error > threshold AS v, needed FROM placed JOIN spc USING (task) WHERE p > 100),
+    f"""WITH {SMOOTH_SQL}, every AS (SELECT *, avg(error) OVER (PARTITION BY task ORDER BY p ROWS 99 PRECEDING) AS sm FROM placed),
+    w AS (SELECT every.task, p, ts, sm > threshold AS v, needed FROM every JOIN spc USING (task) WHERE p > 400),
     wi AS (SELECT *, p - row_number() OVER (PARTITION BY task, v ORDER BY p) AS island FROM w),
     len AS (SELECT *, row_number() OVER (PARTITION BY task, v, island ORDER BY p) AS run FROM wi WHERE v)
-    SELECT task, position, ts FROM (SELECT task, p AS position, ts, row_number() OVER (PARTITION BY task ORDER BY p) AS rn FROM len WHERE run >= 5) WHERE rn = 1""",
+    SELECT task, position, ts FROM (SELECT task, p AS position, ts, row_number() OVER (PARTITION BY task ORDER BY p) AS rn FROM len WHERE run >= needed) WHERE rn = 1""",
 )
 def spc_detection(spark, folder):
     errors = error_rows(spark, folder)
-    limits = K.spc_calibration(errors, SETTINGS).withColumn("needed", F.lit(5).cast("long"))
-    return B.first_spc_fire(errors, limits, 100)
+    return B.first_spc_fire(B.smoothed_errors(errors, SETTINGS.smoothing), K.spc_calibration(errors, SETTINGS), SETTINGS.calibration)
 
 
-PAGE_SQL = f"""{I.ERRORS_SQL}, a AS (SELECT task, ts, seq, error, row_number() OVER w AS p, sum(error) OVER w AS s FROM errors
+PAGE_SQL = f"""{I.ERRORS_SQL}, e AS (SELECT task, ts, seq, row_number() OVER w AS n, avg(error) OVER (w ROWS 99 PRECEDING) AS error FROM errors
+  WINDOW w AS (PARTITION BY task ORDER BY ts, seq)),
+a AS (SELECT task, ts, seq, error, row_number() OVER w AS p, sum(error) OVER w AS s FROM e WHERE n > 400
   WINDOW w AS (PARTITION BY task ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT *, sum(error - s / p - 0.1) OVER w AS up, sum(error - s / p + 0.1) OVER w AS down FROM a
   WINDOW w AS (PARTITION BY task ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
@@ -163,12 +165,14 @@ page AS (SELECT task, p AS position, ts FROM (SELECT *, row_number() OVER (PARTI
 
 @query("page_hinkley_detection", f"WITH {PAGE_SQL} SELECT task, position, ts FROM page")
 def page_hinkley_detection(spark, folder):
-    return B.first_page_hinkley_fire(error_rows(spark, folder), 0.1, 800.0, 100)
+    errors = B.smoothed_errors(error_rows(spark, folder), SETTINGS.smoothing, SETTINGS.calibration)
+    return B.first_page_hinkley_fire(errors, 0.1, 800.0, 100)
 
 
 @query("page_hinkley_detection_in_chunks", f"WITH {PAGE_SQL} SELECT task, position, ts FROM page")
 def page_hinkley_detection_in_chunks(spark, folder):
-    return B.first_page_hinkley_fire(error_rows(spark, folder), 0.1, 800.0, 100, group_rows=500, chunks=8)
+    errors = B.smoothed_errors(error_rows(spark, folder), SETTINGS.smoothing, SETTINGS.calibration, group_rows=500, chunks=8)
+    return B.first_page_hinkley_fire(errors, 0.1, 800.0, 100, group_rows=500, chunks=8)
 
 
 @query(

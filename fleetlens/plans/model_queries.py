@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens.functions import columns as C
 from fleetlens.operators import adaptation, features as X, folds, models as M, ranking, stats, tuning
 from fleetlens.operators.calibrators import FeatureCalibrator
 from fleetlens.plans import inputs as I
@@ -204,7 +205,7 @@ def registered_versions(spark, folder):
 
 def trial_sql() -> str:
     def share(i: int) -> str:
-        return f"(((((o_orderkey * 1009 + {i * 7919}) % 2147483647) * 1103515245 + {12345 * 43}) % 2147483648) / CAST(2147483648 AS DOUBLE))"
+        return f"({C.mixed_hash_sql(f'o_orderkey * 1009 + {i * 7919}', 42)} / CAST(2147483648 AS DOUBLE))"
 
     return f"""WITH d AS (SELECT o_orderkey AS trial_number, CAST(3 + floor({share(0)} * 10) AS DOUBLE) AS max_depth,
       CAST(100 + floor({share(1)} * 10) * 100 AS DOUBLE) AS n_estimators, {share(2)} AS leaf_share,

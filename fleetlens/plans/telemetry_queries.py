@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetlens.functions import columns as C
 from fleetlens.operators import prep, stats, trips as T
 from fleetlens.operators.ordered import OrderedRows
 from fleetlens.plans import inputs as I
@@ -288,10 +289,10 @@ SUB_KEY = "user_id * 1000003 + draw"
       SELECT vehicle_id, user_id, n, pos + r * n AS draw, greatest(2, CAST(floor(n * 0.5) AS BIGINT)) AS least_n
       FROM indexed, (SELECT unnest([0, 1]) AS r) WHERE pos + r * n < floor(n * 1.5)),
     firsts AS (
-      SELECT *, (((({SUB_KEY}) % 2147483647) * 1103515245 + {12345 * 43}) % 2147483648) % (n - least_n + 1) AS i
+      SELECT *, {C.mixed_hash_sql(SUB_KEY, 42)} % (n - least_n + 1) AS i
       FROM draws WHERE n >= least_n),
     cuts AS (
-      SELECT vehicle_id, i, i + least_n + ((((({SUB_KEY}) % 2147483647) * 1103515245 + {12345 * 44}) % 2147483648)
+      SELECT vehicle_id, i, i + least_n + ({C.mixed_hash_sql(SUB_KEY, 43)}
              % (n - i - least_n + 1)) - 1 AS j FROM firsts),
     subs AS (
       SELECT a.vehicle_x AS source_x, a.vehicle_y AS source_y, b.vehicle_x AS destination_x,

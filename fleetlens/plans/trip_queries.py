@@ -41,11 +41,10 @@ def trip_statistics(spark, folder):
     return rounded(stats.trip_statistics(I.trips(spark, folder)))
 
 
-HISTOGRAM_SQL = """SELECT CAST(least(floor((v - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, count(*) AS n,
-    round(any_value(lo) + CAST(least(floor((v - lo) / ((hi - lo) / 50)), 49) AS INT) * ((any_value(hi) - any_value(lo)) / 50), 4) + 0 AS lower,
-    round(any_value(lo) + (CAST(least(floor((v - lo) / ((hi - lo) / 50)), 49) AS INT) + 1) * ((any_value(hi) - any_value(lo)) / 50), 4) + 0 AS upper
-    FROM (SELECT CAST({c} AS DOUBLE) AS v, min(CAST({c} AS DOUBLE)) OVER () AS lo, max(CAST({c} AS DOUBLE)) OVER () AS hi FROM trips)
-    GROUP BY 1"""
+HISTOGRAM_SQL = """, x AS (SELECT min(CAST({c} AS DOUBLE)) AS lo, max(CAST({c} AS DOUBLE)) AS hi FROM trips),
+    h AS (SELECT CAST(least(floor((CAST({c} AS DOUBLE) - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, count(*) AS n FROM trips, x GROUP BY 1)
+    SELECT CAST(b AS INT) AS bin, coalesce(n, 0) AS n, round(lo + b * ((hi - lo) / 50), 4) + 0 AS lower,
+    round(lo + (b + 1) * ((hi - lo) / 50), 4) + 0 AS upper FROM range(50) r(b) CROSS JOIN x LEFT JOIN h ON h.bin = b"""
 
 
 @query("distance_histogram", f"WITH {I.TRIPS_SQL} {HISTOGRAM_SQL.format(c='distance')}")
@@ -567,7 +566,7 @@ def correlated_features(spark, folder):
 
 @query("correlated_features_wide")
 def correlated_features_wide(spark, folder):
-    """All 54 features in one pass over vectors."""
+    """All 54 features, nulls skipped pair by pair."""
     trips = I.trips(spark, folder).drop("model", "scenario", "trip_id", "part", "supplier")
     full = FeatureCalibrator.fit(trips, ("temporal", "spatial", "fourier", "cell", "pca")).transform(trips)
     return stats.correlated_pairs(full, [c for c in full.columns if c != "duration"], 0.95)

@@ -42,14 +42,17 @@ class ModelRegistry:
         return f"v{int(known[-1][1:]) + 1}" if known else "v1"
 
     def save(self, model: PipelineModel | WarmStarted, version: str, metadata: dict) -> None:
-        """Writes the model, and the correction of a warm-started one, before the metadata that makes it complete."""
+        """Writes the first model and the corrections of all warm starts since, before the metadata that makes it complete."""
         folder = f"{self.folder}/{version}"
-        if isinstance(model, WarmStarted):
-            self._save_base(model.base, folder)
-            model.correction.write().overwrite().save(f"{folder}/correction")
-            metadata = {**metadata, "n_estimators": model.n_new_trees}
-        else:
-            self._save_base(model, folder)
+        chain = []
+        while isinstance(model, WarmStarted):
+            chain.insert(0, model)
+            model = model.base
+        self._save_base(model, folder)
+        for i, step in enumerate(chain):
+            step.correction.write().overwrite().save(f"{folder}/correction{i}")
+        if chain:
+            metadata = {**metadata, "n_estimators": chain[-1].n_new_trees, "new_trees": [step.n_new_trees for step in chain]}
         text = json.dumps({"ml_task": self.task, "version": version, **metadata})
         rows = self.spark.createDataFrame([(text,)], "value string").coalesce(1)
         rows.write.mode("overwrite").text(f"{folder}/metadata")
@@ -66,8 +69,8 @@ class ModelRegistry:
         if files.exists(self.spark, f"{folder}/metadata"):
             stored = json.loads(self.spark.read.text(f"{folder}/metadata").first()[0])
         model = PipelineModel.load(f"{folder}/model")
-        if files.exists(self.spark, f"{folder}/correction"):
-            model = WarmStarted(model, PipelineModel.load(f"{folder}/correction"), stored.get("n_estimators", 0))
+        for i, trees in enumerate(stored.get("new_trees", [])):
+            model = WarmStarted(model, PipelineModel.load(f"{folder}/correction{i}"), trees)
         return model, stored
 
 

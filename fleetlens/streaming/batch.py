@@ -35,6 +35,13 @@ def rolling_errors(errors: DataFrame, samples: int = S.SMOOTHING_SAMPLES, **layo
     return laid.rolling_mean("error", samples, "smoothed").rows()
 
 
+def smoothed_errors(errors: DataFrame, samples: int = S.SMOOTHING_SAMPLES, skip: int = 0, **layout) -> DataFrame:
+    """``task, ts, seq, error``: what SPC and Page-Hinkley watch, the rolling mean, after the first ``skip`` (calibration) errors."""
+    laid = OrderedRows.lay_out(errors.select("task", "ts", "seq", "error"), ["task"], ["ts", "seq"], **layout)
+    laid = laid.rolling_mean("error", samples, "smoothed").numbered("_n")
+    return laid.rows().where(F.col("_n") > skip).select("task", "ts", "seq", F.col("smoothed").alias("error"))
+
+
 def longest_runs(errors: DataFrame, threshold: Column, **layout) -> DataFrame:
     """Longest run of errors above the threshold per task."""
     laid = OrderedRows.lay_out(errors, ["task"], ["ts", "seq"], **layout)

@@ -4,6 +4,7 @@ import math
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,20 @@ def test_display_texts(spark):
     with pytest.raises(ValueError):
         C.prediction_text("x", F.lit(1.0))
     assert one(spark, C.without_special_tokens(F.lit("<｜a｜> x <|b|>y "))) == "x y"
+
+
+def test_correlated_pairs_skip_nulls_pair_by_pair_at_any_width(spark):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({f"f{i}": rng.normal(size=200) for i in range(24)})
+    frame["f24"] = frame["f0"] + 0.1 * frame["f1"]
+    frame["f25"] = 3.0
+    frame.loc[frame.index % 10 == 0, "f24"] = np.nan
+    found = stats.correlated_pairs(spark.createDataFrame(frame), list(frame), 0.9).collect()
+    assert [(r["feature_1"], r["feature_2"]) for r in found] == [("f24", "f0")]
+    assert abs(found[0]["correlation"] - frame["f24"].corr(frame["f0"])) < 1e-9
+
+
+def test_hashes_of_neighbouring_seeds_are_independent(spark):
+    rows = spark.range(1000).select(C.mixed_hash("id", 1).alias("a"), C.mixed_hash("id", 2).alias("b")).toPandas()
+    assert (rows["a"] - rows["b"]).nunique() > 990
+    assert abs(rows["a"].corr(rows["b"])) < 0.15 and abs(rows["a"].corr(pd.Series(range(1000)))) < 0.15
