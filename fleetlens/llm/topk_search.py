@@ -128,7 +128,8 @@ def exact_top_k(
         return pa.table([pa.array(out[0], kinds[0]), pa.array(out[1], kinds[1]), pa.array(out[2], kinds[2]), pa.array(np.array(out[3], np.int64), kinds[3])], names)
 
     def run(side: DataFrame, block_count: int, ask: DataFrame, query_count: int) -> DataFrame:
-        left, right = pairs(side, "q", query_count), pairs(ask, "b", block_count)
+        # both sides may come from one table: under new names they share no column ids
+        left, right = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (pairs(side, "q", query_count), pairs(ask, "b", block_count)))
         return left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(search, schema)
 
     first = run(data.filter("b = 0"), 1, asked, query_blocks)

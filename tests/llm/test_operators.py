@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from fleetlens.llm import (
-    bpe, minhash_dedup, mixing, quality_classifier, quality_rules, queries, secret_scan, sharding,
+    bpe, minhash_dedup, mixing, quality_classifier, quality_rules, queries, secret_scan, sharding, topk_search,
 )
 
 SMALL = "/root/testdata/sf0.001"
@@ -164,3 +164,17 @@ def test_pipeline(spark):
             assert len(rows) == before.count() and not any(secret_scan.base_spans(r.text or "") for r in rows)
         if name == "bpe":
             assert out.count() == before.count()
+
+
+def test_top_k_over_many_blocks_of_the_table_its_queries_come_from(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-40, 40, (150, 6))
+    rows = spark.createDataFrame([(i, [v / 256 for v in row]) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    vectors = topk_search.levels(rows)
+    found = topk_search.exact_top_k(vectors, vectors.filter("id % 50 = 0"), block=40, query_block=2).collect()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found)
+    want = []
+    for q in (0, 50, 100):
+        best = sorted((-int(x[q] @ x[i]), i) for i in range(150) if i != q)[:5]
+        want += [(q, n, i, -score) for n, (score, i) in enumerate(best, 1)]
+    assert got == want
