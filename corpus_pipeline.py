@@ -9,7 +9,7 @@ from fleetlens.llm.common import stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and boilerplate lines from the others."""
     return quality_rules.keep_good_documents(docs)
 
 

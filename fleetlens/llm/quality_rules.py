@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, digits as 0, white space as one blank) and hashed. A line that more than
 ``least_documents`` documents of one host hold, and more than ``share`` percent of that host's documents, is
-boilerplate and counts as removed; a document that loses more than ``depleted`` percent of its words that way is
-rejected. Documents of a host with equal texts are one document in these counts: copies are for deduplication to judge.
+boilerplate and is removed; a document that loses more than ``depleted`` percent of its words that way is rejected.
+:func:`quality_report` gives counts and verdicts, :func:`keep_good_documents` the rows that pass, with the lines that
+remain. Documents of a host with equal texts are one document in these counts: copies are for deduplication to judge.
 
 Only DataFrame functions run. The text is scanned once; what the counts need is one small row per document in a staged
 table. Counts combine before the shuffle, and rows meet them in plain joins, which Spark splits where a line is hot.
@@ -78,10 +79,11 @@ def with_counts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return base.withColumn("base_failed", failed)
 
 
-def depleted_documents(
+def lost_lines(
     counted: DataFrame, least_documents: int = LEAST_DOCUMENTS, share: int = SHARE, depleted: int = DEPLETED
 ) -> DataFrame:
-    """``host, same`` of the documents that lose more than ``depleted`` percent of their words.
+    """``host, same, lost, depleted`` of the texts that lose lines: the hashes of those, and whether more than
+    ``depleted`` percent of the words go with them.
 
     ``counted`` has host, same (equal for equal texts) and lines; it is read twice, so it should be a stored table.
     Words are summed over all copies of a text, flagged and in all, so the share is that of one copy.
@@ -98,9 +100,15 @@ def depleted_documents(
     )
     frequent = stage(frequent, "frequent-lines")
     lost = held.join(frequent, ["host", "line"], "left").groupBy("host", "same").agg(
-        F.sum("n").alias("all"), F.sum(F.when(F.col("frequent"), F.col("n")).otherwise(0)).alias("removed")
+        F.sum("n").alias("all"), F.sum(F.when(F.col("frequent"), F.col("n")).otherwise(0)).alias("removed"),
+        F.collect_list(F.when(F.col("frequent"), F.col("line"))).alias("lost"),
     )
-    return lost.filter(100 * F.col("removed") > depleted * F.col("all")).select("host", "same")
+    return lost.filter("removed > 0").select("host", "same", "lost", (100 * F.col("removed") > depleted * F.col("all")).alias("depleted"))
+
+
+def depleted_documents(counted: DataFrame, **limits: int) -> DataFrame:
+    """``host, same`` of the documents that lose too many of their words."""
+    return lost_lines(counted, **limits).filter("depleted").select("host", "same")
 
 
 def _keys(text: str, host: str) -> list[Column]:
@@ -116,17 +124,35 @@ def quality_report(
 ) -> DataFrame:
     """Per document: its id, the counts of :data:`BASE`, base_failed, kept."""
     counted = stage(with_counts(docs.select(F.col(id).alias("id"), text, *_keys(text, host)), text, ["id", "host", "same"]), "line-counts")
-    gone = stage(depleted_documents(counted, least_documents, share, depleted), "depleted").withColumn("gone", F.lit(True))
+    gone = depleted_documents(counted, least_documents=least_documents, share=share, depleted=depleted)
+    gone = stage(gone, "depleted").withColumn("gone", F.lit(True))
     kept = ~F.col("base_failed") & F.col("gone").isNull()
     return counted.join(gone, ["host", "same"], "left").select(F.col("id").alias(id), *BASE, "base_failed", kept.alias("kept"))
 
 
-def keep_good_documents(docs: DataFrame, text: str = "text", host: str = "source", **limits: int) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+def remaining(text: Column, lost: Column) -> Column:
+    """The text without its lines whose hashes are in ``lost``."""
+    kept = F.filter(F.split(text, "\n", -1), lambda line: ~F.array_contains(lost, F.xxhash64(normalised(line))))
+    return F.array_join(kept, "\n")
+
+
+def keep_good_documents(
+    docs: DataFrame, text: str = "text", host: str = "source", n_chars: str | None = "n_chars", **limits: int
+) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns; boilerplate lines are gone from ``text``, and ``n_chars``
+    counts anew where some are."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("_text"), *_keys(text, host))
     counted = stage(with_counts(rows, "_text", ["host", "same"]), "line-counts")
-    gone = depleted_documents(counted, **limits).union(counted.filter("base_failed").select("host", "same")).distinct()
-    return rows.join(stage(gone, "rejected"), ["host", "same"], "left_anti").select("row.*")
+    failed = counted.filter("base_failed").select("host", "same", F.array().cast("array<bigint>").alias("lost"), F.lit(True))
+    verdicts = lost_lines(counted, **limits).union(failed).groupBy("host", "same")
+    verdicts = stage(verdicts.agg(F.max("lost").alias("lost"), F.max("depleted").alias("rejected")), "verdicts")
+    good = rows.join(verdicts, ["host", "same"], "left").filter(~F.coalesce("rejected", F.lit(False)))
+    good = good.withColumn("_new", F.when(F.size("lost") > 0, remaining(F.col("_text"), F.col("lost"))))
+    changed = {text: F.col("_new")}
+    if n_chars in docs.columns:
+        changed[n_chars] = F.length("_new").cast(docs.schema[n_chars].dataType)
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    return good.select(*(F.coalesce(changed[c], old[c]).alias(c) if c in changed else old[c].alias(c) for c in old))
 
 
 #: kept_sql gives the verdict from a table ``d`` (doc_id, text, source); also used by the pipeline's twin.

@@ -178,3 +178,17 @@ def test_top_k_over_many_blocks_of_the_table_its_queries_come_from(spark):
         best = sorted((-int(x[q] @ x[i]), i) for i in range(150) if i != q)[:5]
         want += [(q, n, i, -score) for n, (score, i) in enumerate(best, 1)]
     assert got == want
+
+
+def test_frequent_lines_leave_the_texts(spark):
+    own = lambda i: " ".join(f"w{i}x{chr(97 + j)}" for j in range(25))
+    texts = [f"{own(chr(97 + i % 26) * (1 + i // 26))}\nShare  this page {100 + i}\n\nend" for i in range(40)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)] + [(99, texts[0], "en", "b", 7), (100, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    out = quality_rules.keep_good_documents(docs)
+    assert out.dtypes == docs.dtypes
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted(got) == [*range(40), 99]
+    for i in range(40):
+        assert got[i].text == texts[i].split("\n")[0] + "\n" and got[i].n_chars == len(got[i].text)
+    assert (got[99].text, got[99].n_chars) == (texts[0], 7)
