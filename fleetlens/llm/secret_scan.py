@@ -3,13 +3,13 @@
 Candidates are all runs of 16 or more characters of ``[A-Za-z0-9+/_=-]`` of whole texts. The network reads a candidate
 and ``CONTEXT`` characters on either side: embedded characters, one convolution, maxima and means over the candidate and
 maxima over the context, one dense layer. A longer candidate is read in overlapping pieces of ``PIECE`` characters, all
-of them, and its highest score counts. Candidates that score above the threshold and meet no base span are added as
-kind ``net``.
+of them, and its highest score counts. Every candidate is scored; where one reaches the threshold, the parts of it that no
+base span covers are added as kind ``net``.
 
 Labelled findings: ``SAMPLE`` candidates of the corpus at most of each label (those with the least hashes; label 1 where
 a base span meets them), and as many made ones: secrets of usual formats, and harmless codes, names and numbers, set
 into the contexts of the sample. A quarter calibrates: a logistic fit of the scores, then the highest threshold that
-still finds ``RECALL`` of the labelled secrets, and ``LEAST`` at least. Training is seeded, so reruns agree.
+still finds ``RECALL`` of the labelled secrets. Training is seeded, so reruns agree.
 
 Defined cases: null and empty texts have no spans; repeated rows each get a row back; an empty corpus trains on made
 findings alone; other columns are not read, but :func:`redact` keeps them.
@@ -36,7 +36,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 KINDS = ("assign", "access", "hex", "net")
 CONTEXT, PIECE, STEP = 24, 64, 48
-SAMPLE, MADE, RECALL, LEAST, SEED = 1500, 4000, 0.95, 0.5, 5
+SAMPLE, MADE, RECALL, SEED = 1500, 4000, 0.95, 5
 EMBED, FILTERS, WIDTH, EPOCHS = 12, 32, 5, 10
 LENGTH = PIECE + 2 * CONTEXT
 
@@ -51,14 +51,21 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, bool]]:
-    """Start and end of every candidate, and whether a base span meets it."""
-    spans, reach, at = base, 0, 0
+def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, bool, list[tuple[int, int]]]]:
+    """Start and end of every candidate, whether a base span meets it, and its parts that none covers."""
+    reach, at = 0, 0
     for m in CANDIDATE.finditer(text):
-        while at < len(spans) and spans[at][0] < m.end():
-            reach = max(reach, spans[at][2])
+        start, end = m.span()
+        rest, parts = max(start, reach), []
+        while at < len(base) and base[at][0] < end:
+            if base[at][0] > rest:
+                parts.append((rest, base[at][0]))
+            reach = max(reach, base[at][2])
+            rest = max(rest, reach)
             at += 1
-        yield m.start(), m.end(), reach > m.start()
+        if rest < end:
+            parts.append((rest, end))
+        yield start, end, reach > start, parts
 
 
 def pieces(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
@@ -150,7 +157,7 @@ class Network:
                     self.w[k] -= 0.004 * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.999**t)) + 1e-8)
         return self.calibrate(self.logits([rows[i] for i in held]), y[held])
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float = RECALL, least: float = LEAST) -> Network:
+    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
         """Logistic fit of the labels on the scores (smoothed, so it stays finite), then the threshold."""
         a, b, n1 = 1.0, 0.0, y.sum()
         t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
@@ -162,8 +169,7 @@ class Network:
             a, b = max(a - np.clip(da, -0.5, 0.5), 0.05), b - np.clip(db, -1, 1)
         self.scale, self.shift = float(a), float(b)
         found = np.sort(self.chance(z[y == 1]))[::-1]
-        at = found[max(int(np.ceil(recall * len(found))) - 1, 0)] if len(found) else 1.0
-        self.threshold = max(float(at), least)
+        self.threshold = float(found[max(int(np.ceil(recall * len(found))) - 1, 0)]) if len(found) else 1.0
         return self
 
     def chance(self, z: np.ndarray) -> np.ndarray:
@@ -212,7 +218,7 @@ def labelled_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
             for body in batch.column(0):
                 body = body.as_py()
                 base = base_spans(body)
-                rows = [(*pieces(body, a, b)[0], int(met)) for a, b, met in candidates(body, base)]
+                rows = [(*pieces(body, a, b)[0], int(met)) for a, b, met, _ in candidates(body, base)]
                 if rows:
                     at = [int.from_bytes(hashlib.md5(repr(x).encode()).digest()[:7]) for x in rows]
                     yield pa.RecordBatch.from_pylist([dict(zip("piece a b label at".split(), (*x, h))) for x, h in zip(rows, at)], SAMPLE_SCHEMA)
@@ -238,15 +244,14 @@ def all_spans(texts: list[str], network: Network) -> list[list[Span]]:
     for i, text in enumerate(texts):
         base = base_spans(text)
         out.append(base)
-        for a, b, met in candidates(text, base):
-            if not met:
-                cut = pieces(text, a, b)
-                rows += cut
-                owners += [(i, a, b)] * len(cut)
+        for a, b, _, parts in candidates(text, base):
+            cut = pieces(text, a, b)
+            rows += cut
+            owners += [(i, a, parts)] * len(cut)
     chances = network.chance(network.logits(rows))
-    added = {o for o, p in zip(owners, chances) if p >= network.threshold}
-    for i, a, b in added:
-        out[i] = [*out[i], (a, 3, b)]
+    added = {o[:2]: o[2] for o, p in zip(owners, chances) if p >= network.threshold}
+    for (i, _), parts in added.items():
+        out[i] = [*out[i], *((a, 3, b) for a, b in parts)]
     return [sorted(x) for x in out]
 
 
