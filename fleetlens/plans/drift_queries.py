@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from fleetlens import settings as S
@@ -12,12 +14,15 @@ from fleetlens.session import shared_path
 from fleetlens.streaming import batch as B, calibration as K, lifecycle as L
 from fleetlens.streaming.serving import ModelServing
 
-# The error table has some 2,000 points per task at scale 0.01, so counts are smaller than the defaults.
+# The error table has some 2,000 points per task at scale 0.01, so sample counts are smaller than the defaults, and so are
+# window sizes (a hundredth), run lengths and Page-Hinkley thresholds (one 25th, as the calibration). No list is shortened.
 SETTINGS = K.DetectorSettings(
-    smoothing=100, grace=100, calibration=400, adwin_deltas=(0.05, 0.002, 1e-4), page_deltas=(0.01, 0.1),
-    page_thresholds=(200.0, 800.0, 2000.0), kswin_alphas=(0.01, 1e-4), kswin_sizes=((60, 30), (100, 50)),
-    spc_sigmas=(2.0, 3.0), spc_runs=((10, 2), (20, 3)), collect={"click": 86_400, "view": 172_800},
+    smoothing=100, grace=100, calibration=400, page_thresholds=tuple(t / 25 for t in S.PAGE_HINKLEY_THRESHOLDS),
+    kswin_sizes=tuple((w // 100, s // 100) for w, s in S.KSWIN_SIZES), spc_runs=tuple((b // 25, f // 25) for b, f in S.SPC_RUNS),
+    collect={"click": 86_400, "view": 172_800},
 )
+#: What the SQL twins of the two SPC queries name.
+SPC_SETTINGS = replace(SETTINGS, spc_sigmas=(2.0, 3.0), spc_runs=((10, 2), (20, 3)))
 WINDOW = 21_600
 OFF_TIES = 1.283e-7  # means of few decimals often end in an exact 5; the shift keeps both engines on one side of it
 
@@ -135,7 +140,7 @@ spc AS (SELECT task, threshold, needed FROM (SELECT *, row_number() OVER (PARTIT
 
 @query("spc_calibration", f"WITH {SMOOTH_SQL} SELECT task, round(threshold, 6) AS threshold, needed FROM spc")
 def spc_calibration(spark, folder):
-    return rounded(K.spc_calibration(error_rows(spark, folder), SETTINGS))
+    return rounded(K.spc_calibration(error_rows(spark, folder), SPC_SETTINGS))
 
 
 @query(
@@ -148,7 +153,7 @@ def spc_calibration(spark, folder):
 )
 def spc_detection(spark, folder):
     errors = error_rows(spark, folder)
-    return B.first_spc_fire(B.smoothed_errors(errors, SETTINGS.smoothing), K.spc_calibration(errors, SETTINGS), SETTINGS.calibration)
+    return B.first_spc_fire(B.smoothed_errors(errors, SETTINGS.smoothing), K.spc_calibration(errors, SPC_SETTINGS), SETTINGS.calibration)
 
 
 PAGE_SQL = f"""{I.ERRORS_SQL}, e AS (SELECT task, ts, seq, row_number() OVER w AS n, avg(error) OVER (w ROWS 99 PRECEDING) AS error FROM errors

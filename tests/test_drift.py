@@ -221,3 +221,12 @@ def test_slices_are_bounded_by_rows_and_time(spark):
     for start, end in zip(cuts, cuts[1:]):
         assert errors.where(f"task = 'a' AND ts >= {start} AND ts < {end}").count() <= 200
     assert L.slice_cuts(errors, "ts", 300, most_seconds=3000) == [0, 3000, 6000, 9000, 10_200]
+
+
+def test_queries_try_whole_candidate_lists():
+    from fleetlens.plans.drift_queries import SETTINGS
+
+    whole = K.DetectorSettings()
+    for detector in ("ADWIN", "PAGE_HINKLEY", "KSWIN"):
+        assert len(SETTINGS.candidates(detector)) == len(whole.candidates(detector))
+    assert tuple(SETTINGS.spc_sigmas) == tuple(whole.spc_sigmas) and len(SETTINGS.spc_runs) == len(whole.spc_runs)
