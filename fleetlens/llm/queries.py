@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup, topk_search
+from fleetlens.llm import (
+    bpe, lexical_search, minhash_dedup, mixing, quality_classifier, quality_rules, secret_scan, sharding, spelling_variants,
+    substring_dedup, suffix_dedup, topk_search, toxicity,
+)
 from fleetlens.llm.common import stage, table
 
 
@@ -54,6 +57,18 @@ def op10_sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_bag_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_threshold_top_k": op2_threshold_top_k,
@@ -65,6 +80,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_source_mix": op9_source_mix,
     "op10_sampled_splitters": op10_sampled_splitters,
+    "op11_bag_search": op11_bag_search,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_toxicity": op13_toxicity,
 }
 TWINS = {
     "op1_minhash_dedup": minhash_dedup.SQL,
@@ -73,4 +91,6 @@ TWINS = {
     "op8_substring_dedup": substring_dedup.SQL,
     "op9_source_mix": mixing.SQL,
     "op10_sampled_splitters": sharding.SQL,
+    "op11_bag_search": lexical_search.SQL,
+    "op12_spelling_variants": spelling_variants.SQL,
 }
