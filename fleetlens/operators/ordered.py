@@ -7,6 +7,7 @@ chunks, each chunk is scanned on its own, and one small row per (chunk, key) car
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -19,6 +20,7 @@ from fleetlens.settings import GROUP_ROWS
 
 CHUNK = "_chunk"
 PERCENTILE_VALUES = 100_000  # beyond, the built-in percentile is slower than the scan
+RANGE, FORGOTTEN = 30, 780  # powers of e: within a stretch of a decayed sum; beyond the range of doubles
 
 _LOCAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 _CARRY = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -160,6 +162,59 @@ class OrderedRows:
         rolled = copied.withColumn(name, F.avg(column).over(frame)).where("_block = _home")
         return self.with_rows(rolled.drop("_at", "_home", "_block"))
 
+    def decayed_sums(self, keep: float, **columns: Column) -> OrderedRows:
+        """Add y(n) = keep * y(n - 1) + x(n) per column: running sums that forget.
+
+        Every row is the affine map y -> keep * y + x, and maps compose. Within a stretch of positions the sum of
+        x * keep^-i is a plain running sum; stretches are so short that the factor stays below e^``RANGE``. A stretch or
+        chunk hands one composed map on. What lies more than ``FORGOTTEN`` of e behind is 0 in double precision, so
+        a stretch folds a bounded number of earlier ones, however long the group is.
+        """
+        if keep == 1:
+            return self.running(**{n: ("sum", e) for n, e in columns.items()})
+        rate = -math.log(keep)
+        length = max(1, int(RANGE / rate))
+        placed = self.numbered("_at")
+        rows = placed.df.withColumn("_stretch", F.floor((F.col("_at") - 1) / length))
+        begin = F.col("_stretch") * length
+        power = lambda n: F.exp(-rate * n)
+        frame = Window.partitionBy(*placed._group(), "_stretch").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        scaled = {n: e * F.exp(rate * (F.col("_at") - begin)) for n, e in columns.items()}
+        local = rows.withColumns({n: F.sum(e).over(frame) * power(F.col("_at") - begin) for n, e in scaled.items()})
+        ends = rows.groupBy(CHUNK, *self.keys, "_stretch").agg(
+            F.max("_at").alias("_end"), F.min("_at").alias("_first"),
+            *[(F.sum(e) * power(F.max("_at") - F.max(begin))).alias(f"_s_{n}") for n, e in scaled.items()],
+        )
+        earlier = Window.partitionBy(*self.keys).orderBy("_end").rangeBetween(-int(FORGOTTEN / rate) - 1, -1)
+        maps = F.collect_list(F.struct("_end", *[f"_s_{n}" for n in columns])).over(earlier)
+        ends = ends.withColumn("_maps", maps)
+        fold = lambda n: F.aggregate(
+            "_maps", F.lit(0.0), lambda y, m: y + m[f"_s_{n}"] * power(F.col("_first") - 1 - m["_end"])
+        )
+        handed = ends.select(
+            F.col(CHUNK).alias("_c"), F.col("_stretch").alias("_t"), *[F.col(k).alias(f"_k_{k}") for k in self.keys],
+            F.col("_first").alias("_from"), *[fold(n).alias(f"_p_{n}") for n in columns],
+        )
+        same = (F.col(CHUNK) == F.col("_c")) & (F.col("_stretch") == F.col("_t"))
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        joined = local.join(handed, same, "left")
+        # the local sum starts with the first row of the stretch in this chunk, what was handed on ends before it
+        merged = {n: F.col(n) + F.col(f"_p_{n}") * power(F.col("_at") - F.col("_from") + 1) for n in columns}
+        joined = joined.withColumns(merged)
+        return self.with_rows(joined.drop("_at", "_stretch", "_c", "_t", "_from", *[f"_k_{k}" for k in self.keys], *[f"_p_{n}" for n in columns]))
+
+    def blocks(self, size: int, number: str, block: str, home: str) -> DataFrame:
+        """Rows in blocks of ``size`` positions, each row also in the next block as its halo (``home`` is false there).
+
+        ``number`` is the 0-based position. A block holds twice ``size`` rows at most and sees the ``size`` rows before
+        each of its own.
+        """
+        rows = self.numbered("_at").rows().withColumn(number, F.col("_at") - 1).drop("_at")
+        own = F.floor(F.col(number) / size)
+        copied = rows.withColumn("_b", F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("h")), F.struct((own + 1).alias("b"), F.lit(False).alias("h")))))
+        return copied.withColumns({block: F.col("_b.b"), home: F.col("_b.h")}).drop("_b")
+
     def run_lengths(self, flag: Column, name: str) -> OrderedRows:
         """Add the length of the run of true ``flag`` values that ends at the row (0 where it is false)."""
         placed = self.numbered("_at")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import settings as S
@@ -21,12 +22,14 @@ SETTINGS = K.DetectorSettings(
     kswin_sizes=tuple((w // 100, s // 100) for w, s in S.KSWIN_SIZES), spc_runs=tuple((b // 25, f // 25) for b, f in S.SPC_RUNS),
     collect={"click": 86_400, "view": 172_800},
 )
-#: What the SQL twins of the two SPC queries name.
-SPC_SETTINGS = replace(SETTINGS, spc_sigmas=(2.0, 3.0), spc_runs=((10, 2), (20, 3)))
 WINDOW = 21_600
 OFF_TIES = 1.283e-7  # means of few decimals often end in an exact 5; the shift keeps both engines on one side of it
 
 
+def values_sql(rows):
+    return "(VALUES " + ", ".join(f"({', '.join(repr(v) for v in r)})" for r in rows) + ")"
+
+
 def error_rows(spark, folder):
     return I.errors(spark, folder).select("task", "ts", "seq", "error")
 
@@ -128,19 +131,19 @@ def calibration_errors(spark, folder):
 SMOOTH_SQL = f"""{I.ERRORS_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ts, seq) AS p FROM errors),
 smooth AS (SELECT *, avg(error) OVER (PARTITION BY task ORDER BY p ROWS 99 PRECEDING) AS sm FROM placed WHERE p <= 400),
 fit AS (SELECT task, avg(sm) AS m, stddev_pop(sm) AS s FROM smooth GROUP BY 1),
-cand AS (SELECT unnest([2.0, 3.0]) AS sigma),
+cand AS (SELECT unnest([{', '.join(map(str, SETTINGS.spc_sigmas))}]) AS sigma),
 flags AS (SELECT smooth.task, sigma, p, sm > m + sigma * s AS v FROM smooth JOIN fit USING (task), cand),
 isl AS (SELECT *, p - row_number() OVER (PARTITION BY task, sigma, v ORDER BY p) AS island FROM flags),
 runs AS (SELECT task, sigma, coalesce(max(n) FILTER (v), 0) AS longest FROM
   (SELECT task, sigma, v, island, count(*) AS n FROM isl GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
 options AS (SELECT runs.task, sigma, base, m + sigma * s AS threshold, CAST(greatest(base, longest * factor) AS BIGINT) AS needed, longest
-  FROM runs JOIN fit USING (task), (VALUES (10, 2), (20, 3)) c(base, factor)),
+  FROM runs JOIN fit USING (task), {values_sql(SETTINGS.spc_runs)} c(base, factor)),
 spc AS (SELECT task, threshold, needed FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY sigma, base) AS rn FROM options WHERE longest < needed) WHERE rn = 1)"""
 
 
 @query("spc_calibration", f"WITH {SMOOTH_SQL} SELECT task, round(threshold, 6) AS threshold, needed FROM spc")
 def spc_calibration(spark, folder):
-    return rounded(K.spc_calibration(error_rows(spark, folder), SPC_SETTINGS))
+    return rounded(K.spc_calibration(error_rows(spark, folder), SETTINGS))
 
 
 @query(
@@ -153,7 +156,7 @@ def spc_calibration(spark, folder):
 )
 def spc_detection(spark, folder):
     errors = error_rows(spark, folder)
-    return B.first_spc_fire(B.smoothed_errors(errors, SETTINGS.smoothing), K.spc_calibration(errors, SPC_SETTINGS), SETTINGS.calibration)
+    return B.first_spc_fire(B.smoothed_errors(errors, SETTINGS.smoothing), K.spc_calibration(errors, SETTINGS), SETTINGS.calibration)
 
 
 PAGE_SQL = f"""{I.ERRORS_SQL}, e AS (SELECT task, ts, seq, row_number() OVER w AS n, avg(error) OVER (w ROWS 99 PRECEDING) AS error FROM errors
@@ -180,6 +183,111 @@ def page_hinkley_detection_in_chunks(spark, folder):
     return B.first_page_hinkley_fire(errors, 0.1, 800.0, 100, group_rows=500, chunks=8)
 
 
+# Limits of the detectors per task, as tables in both engines: (delta, threshold) and (alpha, window, newest part).
+PAGE_LIMITS = [(t, 0.1, 500.0 + 100 * i) for i, t in enumerate(I.TASKS)]
+KSWIN_LIMITS = [(t, 0.05 / 2**i, *SETTINGS.kswin_sizes[i % 4]) for i, t in enumerate(I.TASKS)]
+
+
+FORGETTING_SQL = f"""WITH {I.ERRORS_SQL}, e AS (SELECT task, ts, seq, row_number() OVER w AS n, avg(error) OVER (w ROWS 99 PRECEDING) AS error FROM errors
+  WINDOW w AS (PARTITION BY task ORDER BY ts, seq)),
+a AS (SELECT task, ts, row_number() OVER w AS p, error - avg(error) OVER w AS gap FROM e WHERE n > 400
+  WINDOW w AS (PARTITION BY task ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+lim(task, delta, threshold) AS {values_sql(PAGE_LIMITS)},
+row AS (SELECT task, p, {{'gap': gap, 'delta': delta::DOUBLE, 'threshold': threshold::DOUBLE, 'p': p, 'ts': ts, 'up': 0::DOUBLE, 'down': 0::DOUBLE,
+  'low': 1e300::DOUBLE, 'high': -1e300::DOUBLE, 'position': 0::BIGINT, 'at': 0::BIGINT}} AS x FROM a JOIN lim USING (task)),
+step AS (SELECT task, list_reduce(list_prepend({{'gap': 0::DOUBLE, 'delta': 0::DOUBLE, 'threshold': 0::DOUBLE, 'p': 0::BIGINT, 'ts': 0::BIGINT, 'up': 0::DOUBLE,
+  'down': 0::DOUBLE, 'low': 1e300::DOUBLE, 'high': -1e300::DOUBLE, 'position': 0::BIGINT, 'at': 0::BIGINT}}, list(x ORDER BY p)), lambda y, z: {{
+  'gap': z.gap, 'delta': z.delta, 'threshold': z.threshold, 'p': z.p, 'ts': z.ts,
+  'up': 0.9999 * y.up + z.gap - z.delta, 'down': 0.9999 * y.down + z.gap + z.delta,
+  'low': least(y.low, 0.9999 * y.up + z.gap - z.delta), 'high': greatest(y.high, 0.9999 * y.down + z.gap + z.delta),
+  'position': CASE WHEN y.position = 0 AND z.p >= 100 AND greatest(0.9999 * y.up + z.gap - z.delta - least(y.low, 0.9999 * y.up + z.gap - z.delta),
+     greatest(y.high, 0.9999 * y.down + z.gap + z.delta) - (0.9999 * y.down + z.gap + z.delta)) > z.threshold THEN z.p ELSE y.position END,
+  'at': CASE WHEN y.position = 0 THEN z.ts ELSE y.at END}}) AS r FROM row GROUP BY task)
+SELECT task, r.position AS position, r.at AS ts FROM step WHERE r.position > 0"""
+
+
+def forgetting_fires(spark, folder, **layout):
+    errors = B.smoothed_errors(error_rows(spark, folder), SETTINGS.smoothing, SETTINGS.calibration, **layout)
+    limits = spark.createDataFrame(PAGE_LIMITS, "task string, delta double, threshold double")
+    return B.first_page_hinkley_fires(errors, limits, 100, **layout)
+
+
+@query("page_hinkley_with_forgetting", FORGETTING_SQL)
+def page_hinkley_with_forgetting(spark, folder):
+    return forgetting_fires(spark, folder)
+
+
+@query("page_hinkley_with_forgetting_in_chunks", FORGETTING_SQL)
+def page_hinkley_with_forgetting_in_chunks(spark, folder):
+    return forgetting_fires(spark, folder, group_rows=500, chunks=8)
+
+
+KSWIN_SQL = f"""{I.ERRORS_SQL}, n AS (SELECT task, ts, seq, error, row_number() OVER (PARTITION BY task ORDER BY ts, seq) AS n FROM errors),
+k AS (SELECT task, ts, error, n - 400 AS position, (n - 401) // 5 AS k FROM n WHERE n > 400 AND (n - 401) % 5 = 0),
+lim(task, alpha, size, stat) AS {values_sql(KSWIN_LIMITS)},
+w AS (SELECT e.task, e.k, e.position, e.ts, size, stat, v.error AS x, CASE WHEN v.k > e.k - stat THEN 1 ELSE 0 END AS recent
+  FROM k e JOIN lim USING (task) JOIN k v ON v.task = e.task AND v.k > e.k - size AND v.k <= e.k WHERE e.k >= size - 1),
+f AS (SELECT *, sum(1 - recent) OVER o / (size - stat) - sum(recent) OVER o / stat AS gap FROM w WINDOW o AS (PARTITION BY task, k ORDER BY x RANGE UNBOUNDED PRECEDING)),
+d AS (SELECT task, position, ts, max(abs(gap)) AS ks, any_value((size - stat) * stat / size::DOUBLE) AS e FROM f GROUP BY 1, 2, 3),
+l AS (SELECT *, (sqrt(e) + 0.12 + 0.11 / sqrt(e)) * ks AS level FROM d),
+tested AS (SELECT task, position, ts, ks, CASE WHEN level < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101),
+  lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * level * level))))) END AS p_value FROM l)"""
+
+
+def kswin_errors(spark, folder):
+    """The raw errors after the calibration, which is what the test watches."""
+    rows = error_rows(spark, folder)
+    first = K.calibration_rows(rows, SETTINGS.calibration).select("task", "seq")
+    return rows.join(first, ["task", "seq"], "left_anti")
+
+
+def kswin_limits(spark):
+    return spark.createDataFrame(KSWIN_LIMITS, "task string, alpha double, size int, stat int")
+
+
+@query("sliding_ks_distances", f"WITH {KSWIN_SQL} SELECT task, position, ts, round(ks, 6) AS ks, round(p_value, 6) AS p_value FROM tested")
+def sliding_ks_distances(spark, folder):
+    return rounded(B.sliding_ks(kswin_errors(spark, folder), kswin_limits(spark)))
+
+
+@query(
+    "kswin_detection",
+    f"""WITH {KSWIN_SQL} SELECT task, position, ts, round(ks, 6) AS ks FROM (SELECT tested.*, row_number() OVER (PARTITION BY task ORDER BY position) AS rn
+    FROM tested JOIN lim USING (task) WHERE ks > 0.1 AND p_value <= alpha) WHERE rn = 1""",
+)
+def kswin_detection(spark, folder):
+    return rounded(B.first_kswin_fire(kswin_errors(spark, folder), kswin_limits(spark)).drop("p_value"))
+
+
+@query("adwin_detection")
+def adwin_detection(spark, folder):
+    """Adaptive windowing with grace over smoothed errors after the calibration, with the delta that it chose per task."""
+    errors = error_rows(spark, folder)
+    limits = K.choose_candidates(errors, "ADWIN", SETTINGS).select("task", F.get("parameters", F.lit(0)).alias("delta"))
+    return B.first_adwin_fire(B.smoothed_errors(errors, SETTINGS.smoothing, SETTINGS.calibration), limits, SETTINGS.grace)
+
+
+@query("calibrated_fires")
+def calibrated_fires(spark, folder):
+    """First fires of all four detectors, each with the parameters that calibration chose for the task."""
+    errors = error_rows(spark, folder)
+    smooth = B.smoothed_errors(errors, SETTINGS.smoothing, SETTINGS.calibration)
+    of = lambda name, *columns: K.choose_candidates(errors, name, SETTINGS).select(
+        "task", *[F.get("parameters", F.lit(i)).cast(kind).alias(c) for i, (c, kind) in enumerate(columns)]
+    )
+    page = of("PAGE_HINKLEY", ("delta", "double"), ("threshold", "double"))
+    kswin = of("KSWIN", ("alpha", "double"), ("size", "int"), ("stat", "int"))
+    spc = K.spc_calibration(errors, SETTINGS)
+    found = {
+        "ADWIN": B.first_adwin_fire(smooth, of("ADWIN", ("delta", "double")), SETTINGS.grace),
+        "PAGE_HINKLEY": B.first_page_hinkley_fires(smooth, page, SETTINGS.grace),
+        "KSWIN": B.first_kswin_fire(kswin_errors(spark, folder), kswin, SETTINGS.stride),
+        "SPC": B.first_spc_fire(smooth, spc, SETTINGS.grace),
+    }
+    rows = [df.select("task", F.lit(name).alias("detector"), "position", "ts") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query(
     "ks_distances",
     f"""WITH {I.ERRORS_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY ts, seq) AS p FROM errors),

@@ -59,6 +59,8 @@ PAGE_HINKLEY_DELTAS = (0.0001, 0.001, 0.01, 0.1)
 PAGE_HINKLEY_THRESHOLDS = (2500.0, 5000.0, 10000.0, 20000.0, 50000.0, 200000.0, 500000.0)
 KSWIN_ALPHAS = (0.001, 0.0005, 0.0001, 5e-5, 2e-5, 1e-5, 5e-6, 1e-6, 5e-7, 1e-7, 1e-8)
 KSWIN_SIZES = ((6000, 3000), (8000, 4000), (11000, 5000), (12500, 6000))
+PAGE_HINKLEY_KEEP = 0.9999
+KSWIN_LEAST = 0.1
 SPC_SIGMAS = (3.0, 3.5, 4.0, 4.5, 5.0, 6.0)
 SPC_MIN_STD = 1e-6
 SPC_RUNS = ((4500, 450), (5400, 540), (7200, 720))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,9 @@ from fleetlens import settings as S
 from fleetlens.functions.columns import absolute_error
 from fleetlens.operators.joins import lookup
 from fleetlens.operators.ordered import OrderedRows
+from fleetlens.streaming.detectors import Adwin, ks_p_value, sliding_distances
+
+KS_BLOCK = 4096  # positions of a block of sliding tests, more where windows are larger
 
 
 def window_of(ts: str | Column = "ts", seconds: int = S.WINDOW_SECONDS) -> tuple[Column, Column]:
@@ -71,6 +78,92 @@ def first_page_hinkley_fire(
     return fired.groupBy("task").agg(F.min(F.struct("position", "ts")).alias("f")).select("task", "f.position", "f.ts")
 
 
+def first_page_hinkley_fires(
+    errors: DataFrame, limits: DataFrame, least: int = S.GRACE_SAMPLES, keep: float = S.PAGE_HINKLEY_KEEP, **layout
+) -> DataFrame:
+    """First point per task where the two-sided test with forgetting fires; ``limits`` (task, delta, threshold).
+
+    The two sums decay by ``keep`` a row: scans over affine maps, see :meth:`OrderedRows.decayed_sums`.
+    """
+    laid = OrderedRows.lay_out(errors.select("task", "ts", "seq", "error"), ["task"], ["ts", "seq"], **layout)
+    laid = laid.running(position=("count", F.lit(1)), _sum=("sum", F.col("error")))
+    rows = lookup(laid.df, limits, "task", "inner").withColumn("_gap", F.col("error") - F.col("_sum") / F.col("position"))
+    laid = laid.with_rows(rows).decayed_sums(keep, _up=F.col("_gap") - F.col("delta"), _down=F.col("_gap") + F.col("delta"))
+    laid = laid.running(_low=("min", F.col("_up")), _high=("max", F.col("_down")))
+    statistic = F.greatest(F.col("_up") - F.col("_low"), F.col("_high") - F.col("_down"))
+    fired = laid.rows().where((F.col("position") >= least) & (statistic > F.col("threshold")))
+    return fired.groupBy("task").agg(F.min(F.struct("position", "ts")).alias("f")).select("task", "f.position", "f.ts")
+
+
+KS_POINTS = "task string, position long, ts long, ks double, p_value double"
+
+
+def sliding_ks(errors: DataFrame, limits: DataFrame, stride: int = S.HIGH_STRIDE, **layout) -> DataFrame:
+    """The sliding two-sample test of every ``stride``-th error: the newest ``stat`` values against the ``size - stat``
+    before them, from the moment the window is full.
+
+    ``limits`` (task, alpha, size, stat) has a row per task. Rows go to blocks of positions with the block before as
+    their halo, so any number of tasks works on one stream, and a group holds twice the largest window at most. Within a
+    block the values are sorted once for many windows. The whole older part takes part, not a sample of it, so that the
+    result does not hang on a random choice. ``position`` counts all errors of a task from 1.
+    """
+    widest = limits.agg(F.max("size")).first()[0]
+    if widest is None:
+        return errors.sparkSession.createDataFrame([], KS_POINTS)
+    laid = OrderedRows.lay_out(errors.select("task", "ts", "seq", "error"), ["task"], ["ts", "seq"], **layout)
+    numbered = laid.numbered("position")
+    taken = numbered.with_rows(numbered.df.where((F.col("position") - 1) % stride == 0))
+    rows = lookup(taken.blocks(max(int(widest), KS_BLOCK), "_n", "_block", "_home"), limits, "task", "inner")
+
+    def test(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n")
+        column = lambda name: table[name].to_numpy()
+        size, stat = int(table["size"][0].as_py()), int(table["stat"][0].as_py())
+        numbers, own = column("_n"), np.asarray(table["_home"])
+        ends = np.flatnonzero(own & (numbers >= size - 1))
+        distances = sliding_distances(column("error"), ends, size, stat)
+        p = [ks_p_value(d, size - stat, stat) for d in distances]
+        found = table.select(["task", "position", "ts"]).take(pa.array(ends))
+        return found.append_column("ks", pa.array(distances, pa.float64())).append_column("p_value", pa.array(p, pa.float64()))
+
+    return rows.groupBy("task", "_block").applyInArrow(test, KS_POINTS)
+
+
+def first_kswin_fire(errors: DataFrame, limits: DataFrame, stride: int = S.HIGH_STRIDE, **layout) -> DataFrame:
+    """First point per task where the sliding test fires: distance above ``KSWIN_LEAST``, p-value of alpha at most."""
+    tested = lookup(sliding_ks(errors, limits, stride, **layout), limits.select("task", "alpha"), "task", "inner")
+    fired = tested.where((F.col("ks") > S.KSWIN_LEAST) & (F.col("p_value") <= F.col("alpha")))
+    first = fired.groupBy("task").agg(F.min(F.struct("position", "ts", "ks", "p_value")).alias("f"))
+    return first.select("task", "f.position", "f.ts", "f.ks", "f.p_value")
+
+
+def first_adwin_fire(errors: DataFrame, limits: DataFrame, grace: int = S.GRACE_SAMPLES) -> DataFrame:
+    """First point per task at which adaptive windowing fires after the grace period; ``limits`` (task, delta).
+
+    The window's next state hangs on its last, so one task's errors pass through one Spark task in their order. They
+    stream through it: what is held is one batch and the buckets, whose number grows with the logarithm of the rows.
+    """
+    rows = lookup(errors.select("task", "ts", "seq", "error"), limits.select("task", "delta"), "task", "inner")
+    dealt = rows.repartition("task").sortWithinPartitions("task", "ts", "seq").select("task", "ts", "error", "delta")
+    schema = pa.schema([("task", pa.string()), ("position", pa.int64()), ("ts", pa.int64())])
+
+    def watch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, detector, position, fired = None, None, 0, False
+        for batch in batches:
+            found = []
+            for name, ts, error, delta in zip(*(c.to_pylist() for c in batch.columns)):
+                if detector is None or name != task:
+                    task, detector, position, fired = name, Adwin(delta, grace), 0, False
+                position += 1
+                if not fired and detector.update(error):
+                    fired = True
+                    found.append((name, position, ts))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    return dealt.mapInArrow(watch, "task string, position long, ts long")
+
+
 def ks_two_sample(
     errors: DataFrame, older: Column, recent: Column, stride: int = S.HIGH_STRIDE, **layout
 ) -> DataFrame:

@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 
+from fleetlens import settings as S
+
 
 class Adwin:
     """Adaptive windowing on an exponential histogram (Bifet & Gavalda 2007) with a grace period.
@@ -93,7 +95,7 @@ class Adwin:
 class PageHinkley:
     """Two-sided Page-Hinkley test with a forgetting factor."""
 
-    def __init__(self, delta: float, threshold: float, least: int = 1, keep: float = 0.9999) -> None:
+    def __init__(self, delta: float, threshold: float, least: int = 1, keep: float = S.PAGE_HINKLEY_KEEP) -> None:
         self.delta, self.threshold, self.least, self.keep = delta, threshold, least, keep
         self.n, self.mean, self.up, self.down, self.low, self.high = 0, 0.0, 0.0, 0.0, math.inf, -math.inf
 
@@ -126,6 +128,25 @@ def ks_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.abs(gap).max())
 
 
+def sliding_distances(values: np.ndarray, ends: np.ndarray, size: int, stat: int, at_once: int = 64) -> np.ndarray:
+    """Distances of the last ``stat`` values of the windows that end at ``ends`` from the values before them.
+
+    Windows that follow each other share one order of their values: a value adds 1 / n to the gap of the distribution
+    functions where it is of the older part, takes 1 / m where it is of the newer, and running sums give the gap.
+    """
+    out = np.empty(len(ends))
+    for i in range(0, len(ends), at_once):
+        part = ends[i : i + at_once]
+        begin = part[0] - size + 1
+        held = values[begin : part[-1] + 1]
+        order = np.argsort(held, kind="stable")
+        last = np.append(np.diff(held[order]) != 0, True)  # of equal values, the last sees them all
+        age = (part - begin)[:, None] - order[None, :]  # 0 for the newest value of a window
+        gap = np.where((age >= stat) & (age < size), 1 / (size - stat), 0.0) - np.where((age >= 0) & (age < stat), 1 / stat, 0.0)
+        out[i : i + at_once] = np.abs(np.cumsum(gap, axis=1)[:, last]).max(axis=1)
+    return out
+
+
 def ks_p_value(distance: float, n: int, m: int) -> float:
     """Asymptotic two-sided p-value."""
     size = math.sqrt(n * m / (n + m))
@@ -156,7 +177,7 @@ class Kswin:
             older = np.random.default_rng([self.seed, self.tests]).choice(older, self.stat, replace=False)
         self.tests += 1
         distance = ks_distance(older, recent)
-        fired = distance > 0.1 and ks_p_value(distance, len(older), len(recent)) <= self.alpha
+        fired = distance > S.KSWIN_LEAST and ks_p_value(distance, len(older), len(recent)) <= self.alpha
         if fired:
             self.window = self.window[-self.stat :]
         return fired

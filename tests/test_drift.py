@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.operators.ordered import OrderedRows
 from fleetlens.plans import inputs as I
 from fleetlens.streaming import batch as B, calibration as K, lifecycle as L
 from fleetlens.streaming.detectors import KINDS, Adwin, Kswin, PageHinkley, Spc, fires, ks_distance, longest_run, smooth
@@ -103,6 +104,74 @@ def test_page_hinkley_twin_matches_the_detector(spark):
         assert (fire["position"], fire["ts"]) == (want, (want - 1) * 10)
 
 
+LAYOUTS = [{}, {"group_rows": 100, "chunks": 5}]
+
+
+@pytest.mark.parametrize("keep", [0.9999, 0.9, 1.0])
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_decayed_sums_are_the_recurrence(spark, keep, layout):
+    x = np.random.default_rng(4).normal(0, 3, 900)
+    rows = [("a", i, float(v)) for i, v in enumerate(x)] + [("b", i, float(-v)) for i, v in enumerate(x[:300])] + [(None, 0, 2.0)]
+    laid = OrderedRows.lay_out(spark.createDataFrame(rows, "task string, seq long, x double"), ["task"], ["seq"], **layout)
+    got = {(r["task"], r["seq"]): r["y"] for r in laid.decayed_sums(keep, y=F.col("x")).rows().collect()}
+    for task, values in (("a", x), ("b", -x[:300]), (None, [2.0])):
+        y = 0.0
+        for i, v in enumerate(values):
+            y = keep * y + v
+            assert np.isclose(got[task, i], y, atol=1e-8)
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_page_hinkley_with_forgetting_matches_the_monitor(spark, layout):
+    parts = {t: np.concatenate([noise(500, seed=i), noise(400, 12.0 + i, 5)]) for i, t in enumerate("abc")}
+    parts["quiet"] = np.full(300, 3.0)
+    limits = [(t, 0.1, 40.0 + 10 * i) for i, t in enumerate(parts)]
+    for keep in (0.9999, 0.99):
+        want = set()
+        for task, delta, threshold in limits:
+            detector = PageHinkley(delta, threshold, 30, keep)
+            first = next((i for i, v in enumerate(parts[task]) if detector.update(float(v))), None)
+            want |= {(task, first + 1, first * 10)} if first is not None else set()
+        rows = spark.createDataFrame(limits, "task string, delta double, threshold double")
+        found = B.first_page_hinkley_fires(error_frame(spark, parts), rows, 30, keep, **layout).collect()
+        assert {tuple(r) for r in found} == want
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_sliding_ks_matches_the_monitor(spark, layout, monkeypatch):
+    monkeypatch.setattr(B, "KS_BLOCK", 50)
+    parts = {"a": np.round(np.concatenate([noise(600), noise(500, 11.5, 5)]), 1), "b": noise(700, seed=8), "short": noise(30)}
+    limits = [("a", 1e-2, 40, 20), ("b", 1e-4, 60, 30), ("short", 0.5, 40, 20)]
+    rows = spark.createDataFrame(limits, "task string, alpha double, size int, stat int")
+    tested = B.sliding_ks(error_frame(spark, parts), rows, 5, **layout).collect()
+    got = {(r["task"], r["position"]): r["ks"] for r in tested}
+    want = set()
+    for task, alpha, size, stat in limits:
+        values, detector = parts[task][::5], Kswin(alpha, size, stat)
+        for i in range(size - 1, len(values)):
+            window = values[i - size + 1 : i + 1]
+            assert np.isclose(got.pop((task, 5 * i + 1)), ks_distance(window[:-stat], window[-stat:]))
+        first = next((i for i, v in enumerate(values) if detector.update(float(v))), None)
+        want |= {(task, 5 * first + 1)} if first is not None else set()
+    assert not got and want
+    fired = B.first_kswin_fire(error_frame(spark, parts), rows, 5, **layout).collect()
+    assert {(r["task"], r["position"]) for r in fired} == want
+    assert B.first_kswin_fire(error_frame(spark, parts), rows.limit(0), 5).collect() == []
+
+
+def test_adwin_in_batch_matches_the_monitor(spark):
+    parts = {t: np.concatenate([noise(700, seed=i), noise(600, 11.0 + i, 5)]) for i, t in enumerate("abc")}
+    limits = [("a", 0.002), ("b", 1e-3), ("c", 1e-300)]
+    want = set()
+    for task, delta in limits:
+        detector = Adwin(delta, 100)
+        first = next((i for i, v in enumerate(parts[task]) if detector.update(float(v))), None)
+        want |= {(task, first + 1, first * 10)} if first is not None else set()
+    rows = spark.createDataFrame(limits, "task string, delta double")
+    found = B.first_adwin_fire(error_frame(spark, parts), rows, 100).collect()
+    assert {tuple(r) for r in found} == want and len(want) == 2
+
+
 def test_ks_twin_matches_numpy(spark):
     values = np.round(np.concatenate([noise(300), noise(300, 11.0, 5)]), 1)
     errors = error_frame(spark, {"a": values})

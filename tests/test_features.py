@@ -230,7 +230,7 @@ def test_wide_correlations_agree_with_narrow_ones(spark):
 def test_histogram_closes_the_last_bin(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 1, 5, 9.99, 10)], "v double")
     got = {r["bin"]: r["n"] for r in stats.histogram(df, "v", 10).collect()}
-    assert got == {0: 1, 1: 1, 5: 1, 9: 2}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 0, 8: 0, 9: 2}
 
 
 def test_display_texts(spark):
