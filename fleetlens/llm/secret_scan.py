@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetlens.llm.common import arrow_map, no_text, stage
 
@@ -301,11 +302,25 @@ def secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", network: Ne
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", network: Network | None = None) -> DataFrame:
-    """``docs`` with every secret replaced; a null text stays null. ``n_chars`` counts anew where a text changed."""
+    """``docs`` with every secret replaced; a null text stays null. ``n_chars`` counts anew where a text changed.
+
+    A row travels as one struct, so that no column of the caller's can clash with those made here.
+    """
     network = network or train(docs, text)
-    rows = docs.withColumns({"_text": no_text(text), "_was": F.col(text).isNull()})
-    out = _mapped(rows, network, {"_new": ("string", pa.string(), redacted)}, [*docs.columns, "_was"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = [t or "" for t in part.column(0).field(at).to_pylist()]
+                new = [redacted(t, s) if s else None for t, s in zip(texts, all_spans(texts, network))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string())], ["row", "new"])
+
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("new", StringType())]))
+    changed = {text: F.col("new")}
     if n_chars in docs.columns:
-        changed = ~F.col("_new").eqNullSafe(no_text(text))
-        out = out.withColumn(n_chars, F.when(changed, F.length("_new")).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
-    return out.withColumn(text, F.when(~F.col("_was"), F.col("_new"))).select(*docs.columns)
+        changed[n_chars] = F.length("new").cast(docs.schema[n_chars].dataType)
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    return out.select(*[(F.coalesce(changed[c], old[c]) if c in changed else old[c]).alias(c) for c in old])
