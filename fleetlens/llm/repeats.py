@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import arrow_map, no_text, stage
 
 LAST = (1 << 63) - 1
-MOST, BATCH = 1 << 17, 1 << 18
+MOST, BATCH = 1 << 17, 1 << 19
+ROWS, PACKED = 1 << 14, 1 << 20
 
 RUNS = "id long, th long, start int, n int, minimiser long, digest long, again boolean"
 _RUNS = pa.schema([
@@ -88,19 +89,33 @@ def runs_of(text: bytes, units: Units) -> tuple[np.ndarray, ...]:
     return start, n, value.view(np.int64), digest.view(np.int64), again
 
 
-def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
-    body = no_text(text).cast("binary")
-    return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))
+def _keys(docs: DataFrame, id: str, text: str) -> tuple[Column, Column]:
+    """A document's id, and what tells documents of equal id apart: the hash of the text, 0 where no id repeats."""
+    number = F.coalesce(F.col(id).cast("long"), F.lit(LAST))
+    repeated = docs.groupBy(number.alias("id")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return number, F.xxhash64(no_text(text).cast("binary")) if repeated > 1 else F.lit(0).cast("long")
 
 
 def _runs(texts: DataFrame, units: Units) -> DataFrame:
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        ids, ths, *found = zip(*rows)
+        n = [len(x) for x in found[0]]
+        columns = [np.repeat(np.array(x, np.int64), n) for x in (ids, ths)] + [np.concatenate(x) for x in found]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype(), copy=False)) for x, f in zip(columns, _RUNS)], schema=_RUNS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for id, th, text in zip(*(c for c in batch.columns)):
-                start, *rest = runs_of(text.as_py(), units)
-                if len(start):
-                    same = [np.full(len(start), x.as_py(), np.int64) for x in (id, th)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*same, start.astype(np.int32), rest[0].astype(np.int32), *rest[1:]], _RUNS)], schema=_RUNS)
+                found = runs_of(text.as_py(), units)
+                if len(found[0]):
+                    rows.append((id.as_py(), th.as_py(), *found))
+                    held += len(found[0])
+                if held >= ROWS:
+                    yield out(rows)
+                    rows, held = [], 0
+        if rows:
+            yield out(rows)
 
     return arrow_map(texts, run, RUNS)
 
@@ -111,19 +126,29 @@ def _packed(texts: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
     rows = texts.join(lists, ["id", "th"]).select("id", "text", "runs")
     schema = pa.schema([("minimiser", pa.int64()), ("digest", pa.int64()), ("id", pa.int64()), ("start", pa.int32()), ("hot", pa.bool_()), ("content", pa.binary())])
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
-            for id, text, runs in zip(*batch.columns):
-                pack, id = units.packer(text.as_py()), id.as_py()
-                runs = runs.as_py()
-                for i in range(0, len(runs), 2048):
-                    yield pa.RecordBatch.from_pylist(
-                        [
-                            {"minimiser": r["minimiser"], "digest": r["digest"], "id": id, "start": r["start"], "hot": r["hot"],
-                             "content": pack(r["start"], r["start"] + r["n"] - 1 + units.length)}
-                            for r in runs[i : i + 2048]
-                        ], schema,
-                    )
+            lists = batch.column(2)
+            fields = {f: lists.flatten().field(f).to_pylist() for f in ("start", "n", "minimiser", "digest", "hot")}
+            at = 0
+            for id, text, size in zip(batch.column(0).to_pylist(), batch.column(1), lists.value_lengths().to_pylist()):
+                pack = units.packer(text.as_py())
+                for i in range(at, at + size):
+                    start = fields["start"][i]
+                    content = pack(start, start + fields["n"][i] - 1 + units.length)
+                    found.append((fields["minimiser"][i], fields["digest"][i], id, start, fields["hot"][i], content))
+                    held += len(content)
+                    if held >= PACKED:
+                        yield out(found)
+                        found, held = [], 0
+                at += size
+        if found:
+            yield out(found)
 
     out = arrow_map(rows, run, "minimiser long, digest long, id long, start int, hot boolean, content binary")
     return out.dropDuplicates(["minimiser", "digest"])
@@ -217,9 +242,8 @@ def _hits(asked: DataFrame, within: bool) -> DataFrame:
     return arrow_map(asked, run, "id long, th long, a int, b int")
 
 
-def removed_windows(docs: DataFrame, units: Units, id: str, text: str, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """The texts (id, th, text), and per document (id, th) its ``spans`` of removed windows: first, last + 1."""
-    texts = _texts(docs, id, text)
+def removed_windows(texts: DataFrame, units: Units, most: int = MOST) -> DataFrame:
+    """Per document (id, th) of the texts (id, th, text) its ``spans`` of removed windows: first, last + 1."""
     cut = stage(_runs(texts, units), "runs")
     # a minimiser of one run says nothing: most of a clean corpus ends here, after a shuffle of one number a run
     shared = cut.groupBy("minimiser").agg(F.count("*").alias("runs"), F.max("again").alias("again"))
@@ -247,7 +271,7 @@ def removed_windows(docs: DataFrame, units: Units, id: str, text: str, most: int
     asked = runs.select("id", "th", "start", "n", "minimiser", "digest").join(firsts, ["minimiser", "digest"])
     hits = _hits(asked.select("id", "th", "start", "n", "ids", "starts"), units.within)
     spans = hits.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return texts, stage(spans, "spans")
+    return stage(spans, "spans")
 
 
 def covered(spans: list, length: int) -> list[tuple[int, int]]:
@@ -264,8 +288,9 @@ def covered(spans: list, length: int) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, keep: list[Column], units: Units, id: str, text: str, most: int = MOST) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep``, ``_text`` (bytes) and ``_spans``, null where nothing goes."""
-    _, spans = removed_windows(docs, units, id, text, most)
+    number, hashed = _keys(docs, id, text)
     body = no_text(text).cast("binary")
-    rows = docs.select(*keep, body.alias("_text"), F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("_i"), F.xxhash64(body).alias("_h"))
+    spans = removed_windows(docs.select(number.alias("id"), hashed.alias("th"), body.alias("text")), units, most)
+    rows = docs.select(*keep, body.alias("_text"), number.alias("_i"), hashed.alias("_h"))
     spans = spans.select(F.col("id").alias("_i"), F.col("th").alias("_h"), F.col("spans").alias("_spans"))
     return rows.join(spans, ["_i", "_h"], "left").drop("_i", "_h")

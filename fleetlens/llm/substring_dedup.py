@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import WORD, arrow_map
 from fleetlens.llm.repeats import Units, covered, with_spans
-from fleetlens.llm.shingles import mixed, powers, window_hashes, word_hashes
+from fleetlens.llm.shingles import content_hashes, window_hashes, word_hashes
 
 WINDOW, GRAM = 50, 8
 
@@ -28,10 +28,7 @@ WINDOW, GRAM = 50, 8
 def _hashes(gram: int) -> Callable:
     def hashes(text: bytes) -> tuple:
         words = word_hashes(text)
-        up, down = powers(len(words) + 1)
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up[: len(words)], out=sums[1:])
-        return window_hashes(words, gram), lambda a, b: mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        return window_hashes(words, gram), content_hashes(words)
 
     return hashes
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import arrow_map
 from fleetlens.llm.repeats import Units, covered, with_spans
-from fleetlens.llm.shingles import span_hashes
+from fleetlens.llm.shingles import content_hashes, gram_hashes
 
 WINDOW, GRAM = 100, 24
 #: Windows of one minimiser that one suffix array takes (about 350 MB of a task's memory); beyond, Spark groups them.
@@ -51,17 +51,47 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     sa = np.full(n, -1, np.int64)
     within = np.arange(len(direct)) - np.repeat(np.cumsum(of_direct) - of_direct, of_direct)
     sa[np.repeat(heads + sizes - of_direct, of_direct) + within] = direct
-    order, heads, bytes_, small = sa.tolist(), heads.tolist(), text.tolist(), smaller.tolist()
     if n:
-        order[heads[bytes_[n - 1]]] = n - 1
-        heads[bytes_[n - 1]] += 1
-    for k in range(n):  # every place is filled before the scan comes to it
-        j = order[k] - 1
-        if j >= 0 and not small[j]:
-            b = bytes_[j]
-            order[heads[b]] = j
-            heads[b] += 1
-    return np.array(order, np.int64)
+        induce(sa, heads, text, smaller, heads + sizes - of_direct)
+    return sa
+
+
+def induce(sa: np.ndarray, heads: np.ndarray, text: np.ndarray, smaller: np.ndarray, direct: np.ndarray) -> None:
+    """Fills in the suffixes that are not smaller than their successors, bucket by bucket of first bytes.
+
+    ``direct`` is where each bucket's directly sorted part begins. Every suffix of a bucket, in order, places the one
+    before it behind what its own bucket has; those of the same bucket are taken in turn before its direct part.
+    """
+    fill = heads.copy()
+    last = len(text) - 1
+    sa[fill[text[last]]] = last
+    fill[text[last]] += 1
+
+    def place(found: np.ndarray, bucket: int) -> None:
+        before = found[found > 0] - 1
+        before = before[~smaller[before]]
+        first = text[before]
+        same = before[first == bucket]
+        if len(same):
+            sa[fill[bucket] : fill[bucket] + len(same)] = same
+            fill[bucket] += len(same)
+        other = first != bucket
+        before, first = before[other], first[other]
+        if len(before):
+            order = np.argsort(first, kind="stable")
+            before, first = before[order], first[order]
+            counts = np.bincount(first, minlength=256)
+            sa[fill[first] + np.arange(len(first)) - np.repeat(np.cumsum(counts) - counts, counts)[: len(first)]] = before
+            fill[:256] += counts
+
+    ends = np.append(heads[1:], len(text))
+    for bucket in np.flatnonzero(ends > heads).tolist():
+        done = heads[bucket]
+        while done < fill[bucket]:
+            upto = fill[bucket]
+            place(sa[done:upto], bucket)
+            done = upto
+        place(sa[direct[bucket] : ends[bucket]], bucket)
 
 
 def _solve(length: int) -> Callable:
@@ -96,9 +126,7 @@ def _solve(length: int) -> Callable:
 
 def _hashes(gram: int) -> Callable:
     def hashes(text: bytes) -> tuple:
-        raw = np.frombuffer(text, np.uint8)
-        at = np.arange(max(len(raw) - gram + 1, 0))
-        return span_hashes(raw, at, at + gram), lambda a, b: span_hashes(raw, a, b)
+        return gram_hashes(text, gram), content_hashes(np.frombuffer(text, np.uint8))
 
     return hashes
 
