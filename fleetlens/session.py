@@ -53,15 +53,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``options`` are those of the Parquet writer.
 
     Cuts the lineage and fixes the rows: what a lost executor held is read again, not computed again, so a
     placement decided by sampling (a range partitioning) cannot come out differently in a second run.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
