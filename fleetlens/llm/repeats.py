@@ -31,6 +31,8 @@ from fleetlens.llm.common import arrow_map, no_text, stage
 LAST = (1 << 63) - 1
 MOST, BATCH = 1 << 17, 1 << 19
 ROWS, PACKED = 1 << 14, 1 << 20
+#: Large staged tables take less disk this way.
+SMALL = {"compression": "zstd"}
 
 RUNS = "id long, th long, start int, n int, minimiser long, digest long, again boolean"
 _RUNS = pa.schema([
@@ -202,7 +204,7 @@ def _grouped(packed: DataFrame, units: Units) -> DataFrame:
 
     source = packed.select("minimiser", "digest", "id", "start", "content")
     rows = arrow_map(source, run, "minimiser long, digest long, i int, id long, start int, window binary")
-    rows = stage(rows.withColumn("window", F.md5("window")), "hot-windows")
+    rows = stage(rows.withColumn("window", F.md5("window")), "hot-windows", **SMALL)
     # stored, so that the join deals its rows out anew and Spark can split a window that most contents have
     first = stage(rows.groupBy("window").agg(F.min(F.struct("id", "start")).alias("first")), "window-places")
     placed = rows.select("minimiser", "digest", "i", "window").join(first, "window")
@@ -244,11 +246,11 @@ def _hits(asked: DataFrame, within: bool) -> DataFrame:
 
 def removed_windows(texts: DataFrame, units: Units, most: int = MOST) -> DataFrame:
     """Per document (id, th) of the texts (id, th, text) its ``spans`` of removed windows: first, last + 1."""
-    cut = stage(_runs(texts, units), "runs")
+    cut = stage(_runs(texts, units), "runs", **SMALL)
     # a minimiser of one run says nothing: most of a clean corpus ends here, after a shuffle of one number a run
     shared = cut.groupBy("minimiser").agg(F.count("*").alias("runs"), F.max("again").alias("again"))
     shared = shared.filter((F.col("runs") > 1) | (F.col("again") if units.within else F.lit(False))).select("minimiser")
-    runs = stage(cut.join(stage(shared, "shared-minimisers").hint("shuffle_hash"), "minimiser", "left_semi"), "shared-runs")
+    runs = stage(cut.join(stage(shared, "shared-minimisers").hint("shuffle_hash"), "minimiser", "left_semi"), "shared-runs", **SMALL)
     place = F.struct("id", "start", "th", "n")
     contents = runs.groupBy("minimiser", "digest").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("again").alias("again"))
     contents = contents.select(
@@ -261,13 +263,13 @@ def removed_windows(texts: DataFrame, units: Units, most: int = MOST) -> DataFra
     )
     several = (F.col("contents") > 1) | (F.col("inside") if units.within else F.lit(False))
     counted = counted.filter(several | F.col("any")).select("minimiser", several.alias("several"), (F.col("windows") > most).alias("hot"))
-    chosen = stage(contents.join(counted, "minimiser"), "contents")
-    packed = stage(_packed(texts, chosen.filter("several"), units), "packed")
+    chosen = stage(contents.join(counted, "minimiser"), "contents", **SMALL)
+    packed = stage(_packed(texts, chosen.filter("several"), units), "packed", **SMALL)
     solved = _solved(packed.filter("not hot"), units).unionByName(_grouped(packed.filter("hot"), units))
     alone = chosen.filter("not several").select(
         "minimiser", "digest", F.array("id").alias("ids"), F.array("start").alias("starts")
     )
-    firsts = stage(solved.unionByName(alone), "first-places")
+    firsts = stage(solved.unionByName(alone), "first-places", **SMALL)
     asked = runs.select("id", "th", "start", "n", "minimiser", "digest").join(firsts, ["minimiser", "digest"])
     hits = _hits(asked.select("id", "th", "start", "n", "ids", "starts"), units.within)
     spans = hits.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
