@@ -12,6 +12,7 @@ from fleetlens.plans import inputs as I
 from fleetlens.plans.catalog import query, rounded, rounded_sql, seconds, table
 from fleetlens.schemas import METRICS
 from fleetlens.session import shared_path
+from fleetlens.session import stage
 from fleetlens.sources import integrity, registry, results as R
 
 MEANS = ", ".join(f"avg({m}) AS {m}" for m in METRICS)
@@ -214,24 +215,23 @@ def mean_importances(spark, folder):
 
 @query(
     "cumulative_importances",
-    f"""WITH {SHARES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance_mean DESC, feature) AS rn
-      FROM means WHERE method = 'F')
-    SELECT model, t AS top, round(sum(percentage_mean) FILTER (rn <= t), 4) AS cumulative FROM r, (SELECT unnest([10, 20, 30, 40, 50]) AS t) GROUP BY 1, 2""",
+    f"""WITH {SHARES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY method, model ORDER BY importance_mean DESC, feature) AS rn FROM means)
+    SELECT method, model, t AS top, round(sum(percentage_mean) FILTER (rn <= t), 4) AS cumulative
+    FROM r, (SELECT unnest([10, 20, 30, 40, 50]) AS t) GROUP BY 1, 2, 3""",
 )
 def cumulative_importances(spark, folder):
-    return rounded(ranking.cumulative_importance(means(spark, folder).where("method = 'F'")), 4)
+    return rounded(ranking.cumulative_importance(means(spark, folder), by=("method", "model")), 4)
 
 
 @query(
     "importance_ranks",
-    f"""WITH {SHARES_SQL} SELECT model, feature, dense_rank() OVER (PARTITION BY model ORDER BY percentage_mean DESC) AS rank,
-    round((percentage_mean - min(percentage_mean) OVER (PARTITION BY model))
-      / (max(percentage_mean) OVER (PARTITION BY model) - min(percentage_mean) OVER (PARTITION BY model)), 6) AS scaled
-    FROM means WHERE method = 'O'""",
+    f"""WITH {SHARES_SQL} SELECT method, model, feature, dense_rank() OVER (g ORDER BY percentage_mean DESC) AS rank,
+    round((percentage_mean - min(percentage_mean) OVER g) / nullif(max(percentage_mean) OVER g - min(percentage_mean) OVER g, 0), 6) AS scaled
+    FROM means WINDOW g AS (PARTITION BY method, model)""",
 )
 def importance_ranks(spark, folder):
-    ranked = ranking.rank_and_scale(means(spark, folder).where("method = 'O'"))
-    return rounded(ranked.select("model", "feature", "rank", "scaled"))
+    ranked = ranking.rank_and_scale(means(spark, folder), by=("method", "model"))
+    return rounded(ranked.select("method", "model", "feature", "rank", "scaled"))
 
 
 RANKING_SQL = f"""{SHARES_SQL}, kept AS (
@@ -519,44 +519,69 @@ def versions_in_force_merged(spark, folder):
     return merged.select("task", "seq", "version")
 
 
+def digest_sql(columns):
+    """The digest of a row over (column, kind), as :func:`fleetlens.sources.integrity.row_digest` makes it."""
+    texts = {"text": "CAST({} AS VARCHAR)", "real": "printf('%.12e', {} + 0.0)", "moment": "CAST(epoch_us({}) AS VARCHAR)"}
+    parts = [texts[kind].format(c) for c, kind in columns]
+    whole = " || ".join(f"coalesce(length({t}) || ':' || {t}, 'n')" for t in parts)
+    return f"sum(('0x' || substr(md5({whole}), 1, 15))::HUGEINT)"
+
+
+LINEITEM = [
+    *((f"l_{c}", "text") for c in ("orderkey", "partkey", "suppkey", "linenumber")),
+    *((f"l_{c}", "real") for c in ("quantity", "extendedprice", "discount", "tax")),
+    ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "moment"),
+]
+ORDERS = [
+    ("o_orderkey", "text"), ("o_custkey", "text"), ("o_orderstatus", "text"), ("o_totalprice", "real"), ("o_orderdate", "moment"),
+    ("o_orderpriority", "text"),
+]
+
+
 @query(
     "content_checksums",
-    """SELECT l_returnflag AS part, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber,
-      l_partkey, l_suppkey)), 1, 15))::BIGINT) AS VARCHAR) AS checksum FROM lineitem GROUP BY 1""",
+    f"SELECT l_returnflag AS part, count(*) AS n_rows, CAST({digest_sql(LINEITEM)} AS VARCHAR) AS checksum FROM lineitem GROUP BY 1",
 )
 def content_checksums(spark, folder):
-    items = table(spark, folder, "lineitem").withColumn("part", F.col("l_returnflag"))
-    sums = integrity.content_checksums(items, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["part"])
+    items = table(spark, folder, "lineitem")
+    sums = integrity.content_checksums(items, integrity.canonical(items), [F.col("l_returnflag").alias("part")])
     return sums.withColumn("checksum", F.col("checksum").cast("string"))
 
 
 @query(
     "failed_integrity_parts",
-    """SELECT 'p' || CAST(l_suppkey AS VARCHAR) AS part, CAST(count(*) + CASE WHEN l_suppkey % 10 = 3 THEN 1 ELSE 0 END AS VARCHAR) AS expected,
-    CAST(count(*) AS VARCHAR) AS actual FROM lineitem GROUP BY l_suppkey HAVING l_suppkey % 10 = 3""",
+    f"""SELECT 'p' || CAST(l_suppkey AS VARCHAR) AS part, CAST({digest_sql(LINEITEM)} + 1 AS VARCHAR) AS expected,
+    CAST({digest_sql(LINEITEM)} AS VARCHAR) AS actual FROM lineitem GROUP BY l_suppkey HAVING l_suppkey % 10 = 3""",
 )
 def failed_integrity_parts(spark, folder):
-    """Row counts per supplier as the fingerprint; the manifest is off for every tenth supplier."""
-    counted = table(spark, folder, "lineitem").groupBy("l_suppkey").count()
+    """Content checksums per supplier over all columns; the manifest is off for every tenth supplier."""
+    items = table(spark, folder, "lineitem")
+    sums = stage(integrity.content_checksums(items, integrity.canonical(items), ["l_suppkey"]), "sums")
     part = F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("part")
-    actual = counted.select(part, F.col("count").cast("string").alias("md5"))
     off = F.when(F.col("l_suppkey") % 10 == 3, 1).otherwise(0)
-    manifest = counted.select(part, (F.col("count") + off).cast("string").alias("md5"))
-    return integrity.failed_parts(actual, manifest, "part")
+    manifest = sums.select(part, (F.col("checksum") + off).cast("decimal(38,0)").cast("string").alias("md5"))
+    return integrity.failed_parts(sums.select(part, F.col("checksum").cast("string").alias("md5")), manifest, "part")
 
 
 @query(
     "checksums_per_file",
-    """SELECT 'orders.parquet' AS name, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus), 1, 15))::BIGINT) AS VARCHAR) AS checksum FROM orders""",
+    f"SELECT 'orders.parquet' AS name, count(*) AS n_rows, CAST({digest_sql(ORDERS)} AS VARCHAR) AS checksum FROM orders",
 )
 def checksums_per_file(spark, folder):
     """Rows and content checksum of every data file, computed from its rows in parallel."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_orderstatus", "_metadata.file_path")
+    orders = table(spark, folder, "orders")
     name = F.regexp_extract("file_path", "([^/]*[.]parquet)", 1).alias("name")
-    sums = integrity.content_checksums(orders, ["o_orderkey", "o_orderstatus"], [name])
+    rows = orders.select("*", "_metadata.file_path")
+    sums = integrity.content_checksums(rows, integrity.canonical(orders), [name])
     return sums.withColumn("checksum", F.col("checksum").cast("string"))
 
 
+@query("file_digests")
+def file_digests(spark, folder):
+    """md5 of every file of the given tables, whatever its size."""
+    return integrity.file_checksums(spark, folder)
+
+
 @query(
     "parameter_importance",
     f"""WITH {I.TRIALS_SQL}, long_form AS (

@@ -254,13 +254,13 @@ def log_features(spark, folder):
     f"""WITH {I.TRIPS_SQL}, fit AS (
       SELECT avg(distance) AS md, stddev_pop(distance) AS sd, avg(duration) AS mu, stddev_pop(duration) AS su
       FROM trips WHERE scenario = 'F')
-    SELECT {KEY}, round((distance - md) / sd, 6) + 0 AS distance, round((duration - mu) / su, 6) + 0 AS duration
-    FROM trips, fit WHERE scenario = 'O'""",
+    SELECT {KEY}, scenario, round((distance - md) / sd, 6) + 0 AS distance, round((duration - mu) / su, 6) + 0 AS duration
+    FROM trips, fit""",
 )
 def standard_scaled_features(spark, folder):
     trips = I.trips(spark, folder)
     fitted = X.fit_scaler(trips.where("scenario = 'F'"), ["distance", "duration"])
-    return rounded(X.scale(trips.where("scenario = 'O'"), fitted).select(*I.ROW_ID, "distance", "duration"))
+    return rounded(X.scale(trips, fitted).select(*I.ROW_ID, "scenario", "distance", "duration"))
 
 
 @query(
