@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from fleetlens.operators import reports, stats
 from fleetlens.plans import inputs as I
 from fleetlens.plans.catalog import query, rounded
 from fleetlens.session import shared_path
-from fleetlens.streaming import batch as B, calibration as K, lifecycle as L
+from fleetlens.operators.prep import load_window
+from fleetlens.streaming import batch as B, calibration as K, lifecycle as L, typed as T
 from fleetlens.streaming.serving import ModelServing
 
 # The error table has some 2,000 points per task at scale 0.01, so sample counts are smaller than the defaults, and so are
@@ -436,6 +438,19 @@ def drift_lifecycle_streamed(spark, folder):
     return loop.run(rows, "ts", L.slice_cuts(rows, "ts", WINDOW, most_seconds=6 * 86_400)).drop("batch")
 
 
+@query("drift_watch_typed")
+def drift_watch_typed(spark, folder):
+    """The monitors of all tasks as typed state: one file a slice, one slice a micro-batch; events of rows and timers."""
+    rows = error_rows(spark, folder).withColumn("control", F.lit(None).cast("string"))
+    inbox, sink, checkpoint = (shared_path(spark, n) for n in ("typed-inbox", "typed-sink", "typed-progress"))
+    for start, end in pairwise(L.slice_cuts(rows, "ts", WINDOW, most_seconds=6 * 86_400)):
+        load_window(rows, start, end, "ts").coalesce(1).write.mode("append").parquet(inbox)  # a file comes whole or not at all
+    stream = T.typed_monitor_stream(L.read_inbox(spark, inbox, maxFilesPerTrigger="1"), SETTINGS, WINDOW)
+    with T.typed_store(spark), L.state_partitions(spark, 64):
+        L.append_sink(stream, sink, checkpoint, trigger={"availableNow": True}).awaitTermination()
+    return L.read_sink(spark, sink, L.EVENTS).drop("batch")
+
+
 @query("replay_with_retraining")
 def replay_with_retraining(spark, folder):
     """The whole loop on real models: trained on the first days, watched, retrained on the drifted days, swapped.
@@ -448,7 +463,7 @@ def replay_with_retraining(spark, folder):
     versions = serving.start(4 * 86_400)
     loop = L.ReplayLoop(spark, f"{root}/replay", serving.score, serving.retrain, versions, SETTINGS, WINDOW)
     events = loop.run(trips, "ts", L.slice_cuts(trips, "ts", WINDOW, most_seconds=6 * 86_400))
-    errors = spark.read.schema(L.INPUT).parquet(loop.errors).where("control IS NULL")
+    errors = spark.read.schema(L.INPUT).option("recursiveFileLookup", "true").parquet(loop.errors).where("control IS NULL")
     moments = events.groupBy("task").agg(
         F.min(F.when(F.col("event") == "drifted", F.col("ts"))).alias("detected_at"),
         F.min(F.when(F.col("event") == "swapped", F.col("ts"))).alias("swapped_at"),

@@ -170,13 +170,22 @@ def state_partitions(spark: SparkSession, keys: int) -> Iterator[None]:
         spark.conf.set(name, usual)
 
 
-def append_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+def append_sink(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict | None = None
+) -> StreamingQuery:
     """Every micro-batch to its own folder, overwritten if it is run again, so a retried batch leaves no copies."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a job has finished writing the folder."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
 def read_sink(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -250,7 +259,8 @@ class ReplayLoop:
     ) -> None:
         self.spark, self.folder, self.score, self.retrain = spark, folder, score, retrain
         self.versions, self.history = dict(versions), [(t, -1, v) for t, v in versions.items()]
-        self.settings, self.seconds, self.handled = settings, seconds, set()
+        self.settings, self.seconds, self.handled, self.seen = settings, seconds, set(), -1
+        self.failures: list[tuple[str, int, str]] = []
         self.inbox, self.sink, self.errors = f"{folder}/trips", f"{folder}/events", f"{folder}/errors"
 
     def run(self, trips: DataFrame, time: str, cuts: Sequence[int]) -> DataFrame:
@@ -261,14 +271,18 @@ class ReplayLoop:
 
         def score_batch(batch: DataFrame, number: int) -> None:
             scored = self.score(batch, self.versions).withColumn("control", F.lit(None).cast("string"))
-            scored.select("task", "ts", "seq", "error", "control").write.mode("append").parquet(self.errors)
+            scored = scored.select("task", "ts", "seq", "error", "control")
+            path = f"{self.errors}/scored-{number:09d}"
+            if not is_written(self.spark, path):  # a batch that is run again has been seen by the monitors already
+                scored.write.mode("overwrite").parquet(path)
 
         scoring = (
             self.spark.readStream.schema(schema).parquet(self.inbox).writeStream.foreachBatch(score_batch)
             .option("checkpointLocation", f"{self.folder}/scoring").start()
         )
         with state_partitions(self.spark, len(self.versions)):
-            events = monitor_stream(read_inbox(self.spark, self.errors), self.settings, self.seconds)
+            inbox = read_inbox(self.spark, self.errors, recursiveFileLookup="true")
+            events = monitor_stream(inbox, self.settings, self.seconds)
             watch = append_sink(events, self.sink, f"{self.folder}/watch")
 
         def after(start: int, end: int) -> None:
@@ -289,7 +303,9 @@ class ReplayLoop:
         control_rows(self.spark, rows).write.mode("append").parquet(self.errors)
 
     def _retrain_due(self, now: int) -> None:
-        asked = read_sink(self.spark, self.sink, EVENTS).where("event = 'retraining'").orderBy("ts", "task").collect()
+        events = read_sink(self.spark, self.sink, EVENTS).where(F.col("batch") > self.seen)  # only the folders since then
+        self.seen = max(self.seen, events.agg(F.max("batch")).first()[0] or 0)
+        asked = events.where("event = 'retraining'").orderBy("ts", "task").collect()
         outcome = []
         for row in asked:
             if (row["task"], row["ts"]) in self.handled:
@@ -300,7 +316,8 @@ class ReplayLoop:
                 self.versions[row["task"]] = version
                 self.history.append((row["task"], now, version))
                 outcome.append((row["task"], now, "swapped"))
-            except ValueError:
+            except Exception as reason:  # whatever stops one task's retraining must not stop the others
+                self.failures.append((row["task"], now, repr(reason)))
                 outcome.append((row["task"], now, "failed"))
         if outcome:
             self._publish(outcome)

@@ -299,3 +299,29 @@ def test_queries_try_whole_candidate_lists():
     for detector in ("ADWIN", "PAGE_HINKLEY", "KSWIN"):
         assert len(SETTINGS.candidates(detector)) == len(whole.candidates(detector))
     assert tuple(SETTINGS.spc_sigmas) == tuple(whole.spc_sigmas) and len(SETTINGS.spc_runs) == len(whole.spc_runs)
+
+
+def test_a_finished_folder_is_known(spark, tmp_path):
+    path = str(tmp_path / "out")
+    assert not L.is_written(spark, path)
+    spark.range(3).write.parquet(path)
+    assert L.is_written(spark, path)
+
+
+def test_a_failing_retraining_stops_no_other_task(spark, tmp_path):
+    def retrain(task, start, end):
+        if task == "a":
+            raise RuntimeError("no model")
+        return "v2"
+
+    def score(rows, versions):
+        return rows.select("task", "ts", "seq", F.col("truth").alias("error"))
+
+    drifting = np.concatenate([noise(200, seed=1), noise(150, 25.0, 2)])
+    rows = [(t, 30 * i, i, float(v)) for t in "ab" for i, v in enumerate(drifting)]
+    trips = spark.createDataFrame(rows, "task string, ts long, seq long, truth double")
+    loop = L.ReplayLoop(spark, str(tmp_path / "r"), score, retrain, {"a": "v1", "b": "v1"}, SMALL)
+    events = loop.run(trips, "ts", [0, 6000, 9000, 12_000]).collect()
+    ends = {(r.task, r.event) for r in events if r.event in ("failed", "swapped")}
+    assert ends == {("a", "failed"), ("b", "swapped")} and loop.failures[0][0] == "a" and "no model" in loop.failures[0][2]
+    assert spark.read.option("recursiveFileLookup", "true").parquet(loop.errors).where("control IS NULL").count() == len(rows)
