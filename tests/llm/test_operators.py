@@ -25,7 +25,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(queries.TWINS))
 def test_beside_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SMALL)
     want = con.execute(queries.TWINS[name]).to_arrow_table()
