@@ -1,11 +1,12 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and decoding as a byte-to-text state machine.
 
-Encoding reads the pre-tokens of a text one after the other. A short one is merged at once (and remembered in a bounded
-table). A long one is read byte by byte: a token sequence is the encoding exactly if every two neighbours are the
-encoding of their joined bytes, so each prefix has one last token, found among the tokens that end there. The merge
-list's sufficient lookahead is its longest token: no token that ends after byte n starts before n + 1 - longest, so
-whatever follows builds on one of the prefixes that end in the last ``longest`` bytes. Where the paths of all of these
-meet, the tokens before are stable; they are emitted and forgotten, so memory does not grow with the pre-token.
+Encoding reads the pre-tokens of a text one after the other, each byte by byte: a token sequence is the encoding exactly
+if every two neighbours are the encoding of their joined bytes, so each prefix has one last token, found among the tokens
+that end there. The merge list's sufficient lookahead is its longest token: no token that ends after byte n starts before
+n + 1 - longest, so whatever follows builds on one of the prefixes that end in the last ``longest`` bytes. Where the paths
+of all of these meet, the tokens before are stable; they are emitted and forgotten, so memory does not grow with the
+pre-token. What came out for a short pre-token is remembered in a bounded table. Merging itself (``merged``) only decides
+which two tokens may be neighbours.
 
 Decoding feeds token bytes to an incremental UTF-8 state machine, which holds back an unfinished character; what can't
 be a character becomes U+FFFD.
@@ -34,7 +35,7 @@ from fleetlens.llm.common import arrow_map
 #: Fixed values of the vocabulary's format: contractions, letters, numbers, others, white space.
 PRE_TOKENS = r""" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
-DIRECT, REMEMBERED, FLUSH, CHUNK, NONE = 256, 200_000, 4096, 65_536, 1 << 60
+SHORT, REMEMBERED, FLUSH, CHUNK, NONE = 256, 200_000, 4096, 65_536, 1 << 60
 
 
 def default_vocabulary() -> str:
@@ -197,7 +198,7 @@ class Vocabulary:
 
 
 class _Remembered(dict):
-    """Tokens of pre-tokens; short ones are kept, up to a bound."""
+    """Tokens of pre-tokens by the transducer; those of short ones are kept, up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
@@ -205,9 +206,10 @@ class _Remembered(dict):
 
     def __missing__(self, piece: str) -> Iterable[int]:
         raw = piece.encode("utf-8", "replace")
-        if len(raw) > DIRECT:
-            return self.vocabulary.stream(raw)
-        found = tuple(self.vocabulary.merged(raw))
+        found = self.vocabulary.stream(raw)
+        if len(raw) > SHORT:
+            return found
+        found = tuple(found)
         if len(self) < REMEMBERED:  # frequent ones come early
             self[piece] = found
         return found
@@ -223,12 +225,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encode_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Per document: id, ids (its tokens)."""
-    path = path or default_vocabulary()
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(path or default_vocabulary())  # the executor's own file
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -240,12 +241,11 @@ def encode_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", pa
 
 def decode_documents(tokens: DataFrame, id: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """Per document: id, text."""
-    path = path or default_vocabulary()
     rows = tokens.select(F.col(id).alias("id"), F.col(ids).alias("ids"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(path or default_vocabulary())  # the executor's own file
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -257,7 +257,6 @@ def decode_documents(tokens: DataFrame, id: str = "doc_id", ids: str = "ids", pa
 
 def round_trips(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Per document: id, n_tokens, ids_sha256, decoded_sha256. Tokens are counted, hashed and decoded as they come."""
-    path = path or default_vocabulary()
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -272,7 +271,7 @@ def round_trips(docs: DataFrame, id: str = "doc_id", text: str = "text", path: s
         return n, ids.hexdigest(), out.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(path or default_vocabulary())  # the executor's own file
         for batch in batches:
             found = [digests(v, t.as_py()) for t in batch.column(1)]
             n, a, b = zip(*found) if found else ((), (), ())
