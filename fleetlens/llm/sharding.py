@@ -2,11 +2,13 @@
 
 The key of a record is a hash of its text, so equal texts lie side by side; records of one key are ordered by a hash of
 their id. Splitters are quantiles of a size-weighted sample of the keys. Every splitter key is a range of its own and
-so is what lies between two of them: a hot text is sampled for sure and ends up alone in its range. A range with more
-than ``cell_rows`` rows is divided further, evenly by key or, for the range of one key, by the id's hash, so no task
-gets more than a cell. Cells are counted exactly; a record's place is its cell's offset and the running sum within the
-cell. Record i with ``b`` bytes before it goes to shard floor(shards * (b + size / 2) / total): the shards differ by
-about one record, whatever the sample was.
+so is what lies between two of them. A range with more than ``cell_rows`` rows is divided further into cells, evenly by
+key or, for the range of one key, by the id's hash. A cell that is crowded nevertheless holds a key that was not drawn,
+such as that of the empty text: each of its heavy keys gets pieces of its own, by the id's hash, and what is crowded
+then, rows of one key and one id, is cut by a stored random number. So a task gets about ``cell_rows`` rows, or a
+``MOST_HEAVY``-th of all where that is more. Cells are counted exactly; a record's place is its cell's offset and the
+running sum within the cell. Record i with ``b`` bytes before it goes to shard floor(shards * (b + size / 2) / total):
+the shards differ by about one record, whatever the sample was.
 
 Only DataFrame functions run; the driver sees the splitters, one row a range, and one a shard. Defined cases: a null text is
 an empty one of size 1; null ids are ordered like the text ""; repeated rows get a slot each; an empty table gives an
@@ -15,13 +17,14 @@ empty one; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import hash60, no_text, stage
 
-SHARDS, SPLITTERS, SAMPLE, CELL_ROWS = 16, 255, 8192, 500
+SHARDS, SPLITTERS, SAMPLE, CELL_ROWS, MOST_HEAVY, STEP = 16, 255, 8192, 500, 65_536, 16
 KEYS = 1 << 60
+CELL = ["range", "cell", "piece", "slice", "piece2", "slice2"]
 
 
 def sample_splitters(rows: DataFrame, total: int, splitters: int = SPLITTERS, sample: int = SAMPLE) -> list[int]:
@@ -34,6 +37,60 @@ def sample_splitters(rows: DataFrame, total: int, splitters: int = SPLITTERS, sa
     return sorted(set(found or []))
 
 
+def _part(at: Column, parts: Column) -> Column:
+    """The one of ``parts`` even parts of [0, KEYS) that ``at`` lies in."""
+    within = F.floor(at / F.lit(float(KEYS)) * parts).cast("long")
+    return F.least(F.greatest(within, F.lit(0)), parts - 1)
+
+
+def split_crowded(rows: DataFrame, cell: list[str], value: Column, then: str, names: tuple[str, str], limit: int, cell_rows: int) -> DataFrame:
+    """``rows`` with two more columns of the cell's name: in crowded cells, heavy values of ``value`` lie apart, divided by ``then``.
+
+    ``value`` follows the order of the rows. More than ``limit`` rows make a cell crowded and a value heavy; ``limit``
+    is a ``MOST_HEAVY``-th of all rows or more, so there are fewer than ``MOST_HEAVY`` of both: that bounds the broadcasts.
+    """
+    piece, part = names
+    rows = rows.withColumn("value", value)
+    crowded = stage(rows.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(*cell), "crowded")
+    heavy = rows.join(F.broadcast(crowded), cell, "left_semi").groupBy(*cell, "value").agg(F.count("*").alias("n"))
+    heavy = heavy.filter(F.col("n") > limit).groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("heavy"))
+    rows = rows.join(F.broadcast(stage(heavy, "heavy")), cell, "left")
+    smaller = F.coalesce(F.size(F.filter("heavy", lambda h: h["value"] < F.col("value"))), F.lit(0))
+    rows = rows.withColumn("smaller", smaller).withColumn("own", F.get("heavy", F.col("smaller")))
+    rows = rows.withColumn("own", F.when(F.col("own.value") == F.col("value"), F.col("own.n")))
+    parts = F.ceil(F.col("own") / cell_rows).cast("long")
+    return rows.withColumns({
+        piece: 2 * F.col("smaller") + F.col("own").isNotNull().cast("int"),
+        part: F.when(F.col("own").isNull(), F.lit(0)).otherwise(_part(F.col(then), parts)).cast("long"),
+    }).drop("value", "heavy", "smaller", "own")
+
+
+def with_cells(rows: DataFrame, cuts: list[int], cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``rows`` (key, tie, dice) with the columns ``CELL``, which follow the order of (key, tie)."""
+    # 2 i + 1: the i-th splitter key itself; 2 i: the keys before it
+    array = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<bigint>")
+    less = lambda values: F.size(F.filter(values, lambda c: c < F.col("key")))
+    bounds = array(cuts)
+    rows = rows.withColumn("steps", STEP * less(array(cuts[STEP - 1 :: STEP])))
+    rows = rows.withColumn("below", F.col("steps") + less(F.slice(bounds, F.col("steps") + 1, F.lit(STEP)))).drop("steps")
+    on_cut = F.coalesce(F.get(bounds, F.col("below")) == F.col("key"), F.lit(False))
+    rows = rows.withColumn("range", 2 * F.col("below") + on_cut.cast("int")).drop("below")
+    # as many rows as there are ranges: 2 * splitters + 1 at most
+    found = {r["range"]: r["n"] for r in rows.groupBy("range").agg(F.count("*").alias("n")).collect()}
+    n_ranges = 2 * len(cuts) + 1
+    parts = [max(1, -(-found.get(r, 0) // cell_rows)) for r in range(n_ranges)]
+    edges = [0, *cuts, KEYS]
+    lows = [0 if r % 2 else edges[r // 2] for r in range(n_ranges)]
+    widths = [KEYS if r % 2 else max(edges[r // 2 + 1] - edges[r // 2], 1) for r in range(n_ranges)]
+    of = lambda values: F.get(array(values), F.col("range"))
+    at = F.when(F.col("range") % 2 == 1, F.col("tie")).otherwise(F.col("key"))
+    within = F.floor((at - of(lows)) / of(widths).cast("double") * of(parts)).cast("long")
+    rows = rows.withColumn("cell", F.least(F.greatest(within, F.lit(0)), of(parts) - 1))
+    limit = max(cell_rows, -(-sum(found.values()) // MOST_HEAVY))
+    rows = split_crowded(rows, CELL[:2], F.col("key"), "tie", (CELL[2], CELL[3]), limit, cell_rows)
+    return split_crowded(rows, CELL[:4], F.struct("key", "tie"), "dice", (CELL[4], CELL[5]), limit, cell_rows)
+
+
 def shard_by_splitters(
     docs: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text",
     splitters: int = SPLITTERS, sample: int = SAMPLE, cell_rows: int = CELL_ROWS,
@@ -45,32 +102,17 @@ def shard_by_splitters(
         docs.select(
             F.col(id).alias("id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
             hash60(body).alias("key"), hash60(F.concat(ident, F.lit(":shard"))).alias("tie"),
+            (F.rand(0) * float(KEYS)).cast("long").alias("dice"),
         ),
         "keys",
     )
     total = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
     cuts = sample_splitters(rows, total, splitters, sample)
-    # 2 i + 1: the i-th splitter key itself; 2 i: the keys before it
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    below = F.aggregate(bounds, F.lit(0), lambda n, c: n + (c < F.col("key")).cast("int"))
-    rows = rows.withColumn("below", below)
-    on_cut = F.coalesce(F.get(bounds, F.col("below")) == F.col("key"), F.lit(False))
-    rows = rows.withColumn("range", 2 * F.col("below") + on_cut.cast("int")).drop("below")
-    # as many rows as there are ranges: 2 * splitters + 1 at most
-    found = {r["range"]: r["n"] for r in rows.groupBy("range").agg(F.count("*").alias("n")).collect()}
     n_ranges = 2 * len(cuts) + 1
-    parts = [max(1, -(-found.get(r, 0) // cell_rows)) for r in range(n_ranges)]
-    edges = [0, *cuts, KEYS]
-    lows = [0 if r % 2 else edges[r // 2] for r in range(n_ranges)]
-    widths = [KEYS if r % 2 else max(edges[r // 2 + 1] - edges[r // 2], 1) for r in range(n_ranges)]
     of = lambda values: F.get(F.array(*[F.lit(v) for v in values]).cast("array<bigint>"), F.col("range"))
-    at = F.when(F.col("range") % 2 == 1, F.col("tie")).otherwise(F.col("key"))
-    within = F.floor((at - of(lows)) / of(widths).cast("double") * of(parts)).cast("long")
-    rows = rows.withColumn("cell", F.least(F.greatest(within, F.lit(0)), of(parts) - 1))
-
-    cells = rows.groupBy("range", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    cells = stage(cells, "cells")
-    before = Window.partitionBy("range").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    rows = stage(with_cells(rows, cuts, cell_rows), "rows-in-cells")
+    cells = stage(rows.groupBy(*CELL).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "cells")
+    before = Window.partitionBy("range").orderBy(*CELL[1:]).rowsBetween(Window.unboundedPreceding, -1)
     in_range = {r["range"]: (r["n"], r["bytes"]) for r in cells.groupBy("range").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()}
     row_base, byte_base, n, b = [], [], 0, 0
     for r in range(n_ranges):
@@ -78,12 +120,12 @@ def shard_by_splitters(
         byte_base.append(b)
         n, b = n + in_range.get(r, (0, 0))[0], b + in_range.get(r, (0, 0))[1]
     cells = cells.select(
-        "range", "cell",
+        *CELL,
         (of(row_base) + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("rows_before"),
         (of(byte_base) + F.coalesce(F.sum("bytes").over(before), F.lit(0))).alias("bytes_before"),
     )
-    order = Window.partitionBy("range", "cell").orderBy("key", "tie", "id", "size")
-    placed = rows.join(cells, ["range", "cell"]).select(
+    order = Window.partitionBy(*CELL).orderBy("key", "tie", "id", "size")
+    placed = rows.join(cells, CELL).select(
         "id", "size", "text_crc32",
         (F.col("rows_before") + F.row_number().over(order) - 1).alias("row"),
         (F.col("bytes_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("byte"),

@@ -10,7 +10,10 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from fleetlens.llm import lexical_search, minhash_dedup, queries, secret_scan, spelling_variants, substring_dedup, suffix_dedup, toxicity
+from pyspark.sql import functions as F
+
+from fleetlens.llm import lexical_search, minhash_dedup, queries, secret_scan, sharding, spelling_variants, substring_dedup, suffix_dedup, toxicity
+from fleetlens.llm.common import hash60, no_text, stage
 
 TERM = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -190,3 +193,27 @@ def test_redaction_keeps_the_columns_of_the_caller(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert all((got[d]._text, got[d].new, got[d]._was) == (a, b, c) for d, _, a, b, c, _ in rows)
     assert got[1].row.row == 5 and got[2].text is None and got[3].text == "plain" and "abcdefghijkl0123" not in got[1].text
+
+
+@pytest.mark.parametrize("kind", ["empty texts", "one text", "one row", "one id"])
+def test_hot_keys_are_divided_into_cells(spark, kind):
+    hot = {"empty texts": lambda i: (i, ""), "one text": lambda i: (i, "the same"), "one row": lambda i: (7, "the same"), "one id": lambda i: (None, f"text {i}")}
+    rows = [hot[kind](i) if i % 3 == 0 else (i, f"text {i} " + "x" * (i % 90)) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = docs.select(
+        hash60(no_text("text")).alias("key"), hash60(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":shard"))).alias("tie"),
+        (F.rand(0) * float(sharding.KEYS)).cast("long").alias("dice"),
+    )
+    keyed = stage(keyed, "keyed")
+    cells = sharding.with_cells(keyed, [sharding.KEYS // 4, sharding.KEYS // 2], 100)
+    by_cell = cells.groupBy(*sharding.CELL).agg(F.count("*").alias("n"), F.min(F.struct("key", "tie")).alias("a"), F.max(F.struct("key", "tie")).alias("b"))
+    found = sorted(by_cell.collect(), key=lambda r: [r[c] for c in sharding.CELL])
+    assert sum(r.n for r in found) == 6000 and max(r.n for r in found) <= 200
+    assert all(x.b <= y.a for x, y in zip(found, found[1:]))  # cells follow the order of the keys
+    shards = sharding.shard_by_splitters(docs, cell_rows=100).collect()
+    total, seen = sum(r.size for r in shards), {}
+    for r in shards:
+        seen.setdefault(r.shard, []).append(r)
+    for part in seen.values():
+        assert sorted(r.slot for r in part) == list(range(len(part)))
+        assert abs(sum(r.size for r in part) - total / 16) <= 2 * max(r.size for r in shards)
