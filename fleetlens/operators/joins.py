@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetlens.operators.routes import project_on_segment
 from fleetlens.session import stage
 from fleetlens.settings import LOOKUP_ROWS, SALTS
 
@@ -75,10 +76,10 @@ def full_outer_fold(tables: dict[str, DataFrame], keys: Sequence[str], values: S
 
 
 def _cells(spots: DataFrame, size: float) -> DataFrame:
-    """Occupied cells of a grid with the tight box around their targets and the number of positions."""
+    """Occupied cells of a grid with the tight box around what lies in them and the number of positions."""
     at = [F.floor(F.col(c) / size).alias(n) for c, n in (("_tx", "_cx"), ("_ty", "_cy"))]
     return spots.groupBy(*at).agg(
-        F.min("_tx").alias("_x0"), F.max("_tx").alias("_x1"), F.min("_ty").alias("_y0"), F.max("_ty").alias("_y1"),
+        F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"), F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"),
         F.count(F.lit(1)).alias("_n"),
     )
 
@@ -96,7 +97,7 @@ def _nearer_cells(pairs: DataFrame, radius: float) -> DataFrame:
     )
     sure = F.min(high).over(Window.partitionBy("_px", "_py"))
     near = pairs.withColumns({"_low": low, "_sure": sure}).where(
-        (F.col("_low") <= radius) & (F.col("_low") <= F.col("_sure") * (1 + 1e-12))
+        F.col("_low") <= F.least(F.col("_sure"), F.lit(float(radius))) * (1 + 1e-12) + radius * 1e-9
     )
     return near.select("_px", "_py", "_cx", "_cy")
 
@@ -117,14 +118,66 @@ def nearest_within(
     descends with those that can still hold its nearest target, four children at a time, until cells have at most
     ``per_cell`` positions. Only then is it compared with single targets: a crowded cell never meets all its points.
     """
-    px, py = point_xy
     tx, ty = target_xy
     spots = targets.groupBy(F.col(tx).alias("_tx"), F.col(ty).alias("_ty")).agg(F.min(target_id).alias("_id"))
+    spots = spots.withColumns({n: F.col(c) for n, c in (("_x0", "_tx"), ("_x1", "_tx"), ("_y0", "_ty"), ("_y1", "_ty"))})
+    gap = F.hypot(F.col("_tx") - F.col("_px"), F.col("_ty") - F.col("_py"))
+    return _nearest_spot(points, spots, gap, radius, 1, point_xy, target_id, per_cell, deepest)
+
+
+def nearest_edge(
+    points: DataFrame,
+    edges: DataFrame,
+    radius: float,
+    point_xy: tuple[str, str] = ("x", "y"),
+    shape: str = "shape",
+    edge_id: str = "edge_id",
+    per_cell: int = 64,
+    deepest: int = 40,
+) -> DataFrame:
+    """The edge of every point whose polyline comes nearest, within ``radius``; NULL where there is none, the smaller id on ties.
+
+    ``shape`` is an array of (x, y) structs; a shape of one vertex is that point, an empty or null one is nowhere.
+    Equal segments collapse first. A segment is cut into pieces no longer than ``radius``, each placed by its middle;
+    a cell's box holds its pieces whole, so the same descent as for single targets applies, and the distance is that
+    to the whole segment. Pieces grow with the length of all edges in units of ``radius``.
+    """
+    shapes = edges.select(F.col(edge_id).alias("_id"), F.col(shape).alias("_shape")).where(F.size("_shape") > 0)
+    corner = F.posexplode("_shape").alias("_i", "_a")
+    vertices = shapes.select("_id", "_shape", F.size("_shape").alias("_k"), corner).where((F.col("_i") < F.col("_k") - 1) | (F.col("_k") == 1))
+    b = F.get("_shape", F.least(F.col("_i") + 1, F.col("_k") - 1))
+    ends = {"_ax": F.col("_a")["x"], "_ay": F.col("_a")["y"], "_bx": b["x"], "_by": b["y"]}
+    segments = vertices.select("_id", *[c.cast("double").alias(n) for n, c in ends.items()]).where(
+        " AND ".join(f"{n} IS NOT NULL AND NOT isnan({n})" for n in ends)
+    )
+    segments = segments.groupBy(*ends).agg(F.min("_id").alias("_id"))
+    length = F.hypot(F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay"))
+    pieces = segments.withColumn("_parts", F.greatest(F.ceil(length / radius), F.lit(1)))
+    pieces = pieces.withColumn("_part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_parts"))))
+    on_way = lambda a, b, at: F.col(a) + (F.col(b) - F.col(a)) * (at / F.col("_parts"))
+    spots = pieces
+    for axis in "xy":
+        start, end = (on_way(f"_a{axis}", f"_b{axis}", F.col("_part") - d) for d in (1, 0))
+        middle = on_way(f"_a{axis}", f"_b{axis}", F.col("_part") - 0.5)
+        spots = spots.withColumns({f"_{axis}0": F.least(start, end), f"_{axis}1": F.greatest(start, end), f"_t{axis}": middle})
+    end = lambda c: F.struct(F.col(f"_{c}x").alias("x"), F.col(f"_{c}y").alias("y"))
+    foot = project_on_segment(F.col("_px"), F.col("_py"), end("a"), end("b"))
+    gap = F.hypot(foot["x"] - F.col("_px"), foot["y"] - F.col("_py"))
+    # a piece within the radius has its middle within one and a half: two cells away at most
+    return _nearest_spot(points, spots.drop("_parts", "_part"), gap, radius, 2, point_xy, edge_id, per_cell, deepest)
+
+
+def _nearest_spot(
+    points: DataFrame, spots: DataFrame, gap: Column, radius: float, reach: int, point_xy: tuple[str, str],
+    target_id: str, per_cell: int, deepest: int,
+) -> DataFrame:
+    """The descent: ``spots`` have a place (_tx, _ty), a box around it and an id; ``gap`` is the distance from (_px, _py)."""
+    px, py = point_xy
     spots = stage(spots, "spots")
     levels = [stage(_cells(spots, radius), "cells")]
     while (levels[-1].agg(F.max("_n")).first()[0] or 0) > per_cell and len(levels) <= deepest:
         levels.append(stage(_cells(spots, radius / 2 ** len(levels)), "cells"))
-    step = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+    step = F.explode(F.array(*[F.lit(d) for d in range(-reach, reach + 1)]))
     near = points.select(F.col(px).alias("_px"), F.col(py).alias("_py")).distinct()
     near = near.withColumn("_dx", step).withColumn("_dy", step).select(
         "_px", "_py", (F.floor(F.col("_px") / radius) + F.col("_dx")).alias("_cx"),
@@ -139,7 +192,6 @@ def nearest_within(
         near = _nearer_cells(lookup(near, cells.drop("_n"), ["_cx", "_cy"], "inner", computed=False), radius)
     size = radius / 2 ** (len(levels) - 1)
     placed = spots.withColumn("_cx", F.floor(F.col("_tx") / size)).withColumn("_cy", F.floor(F.col("_ty") / size))
-    gap = F.hypot(F.col("_tx") - F.col("_px"), F.col("_ty") - F.col("_py"))
     best = lookup(near, placed, ["_cx", "_cy"], "inner", computed=False).withColumn("_gap", gap)
     best = best.where(F.col("_gap") <= radius).groupBy("_px", "_py").agg(F.min(F.struct("_gap", "_id")).alias("_best"))
     settled = best.select(

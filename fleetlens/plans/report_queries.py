@@ -384,6 +384,30 @@ def route_rows(spark, folder):
     )
 
 
+EDGES_SQL = f"""{ROUTES_SQL}, edge AS (SELECT vec_id AS edge_id, list_transform(route[1:4], lambda p: {{'x': 50 + 150 * p.x, 'y': 50 + 150 * p.y}}) AS shape FROM pts),
+    seg AS (SELECT edge_id, shape[i] AS a, shape[i + 1] AS b FROM edge, (SELECT unnest(range(1, 4)) AS i))"""
+
+
+@query(
+    "nearest_edges_on_polylines",
+    f"""WITH {I.TELEMETRY_SQL}, {EDGES_SQL}, p AS (SELECT DISTINCT vehicle_x AS x, vehicle_y AS y FROM telemetry),
+    near AS (SELECT x, y, edge_id, a, b, ((x - a.x) * (b.x - a.x) + (y - a.y) * (b.y - a.y)) / ((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS t
+      FROM p JOIN seg ON x BETWEEN least(a.x, b.x) - 3 AND greatest(a.x, b.x) + 3 AND y BETWEEN least(a.y, b.y) - 3 AND greatest(a.y, b.y) + 3),
+    foot AS (SELECT x, y, edge_id, a, b, greatest(0.0, least(1.0, t)) AS t FROM near),
+    d AS (SELECT x, y, edge_id, sqrt((x - a.x - t * (b.x - a.x)) ** 2 + (y - a.y - t * (b.y - a.y)) ** 2) AS gap FROM foot),
+    best AS (SELECT x, y, arg_min(edge_id, (gap, edge_id)) AS edge_id, min(gap) AS gap FROM d WHERE gap <= 3 GROUP BY 1, 2)
+    SELECT event_id, best.edge_id, round(best.gap, 6) AS gap FROM telemetry LEFT JOIN best ON vehicle_x = x AND vehicle_y = y""",
+)
+def nearest_edges_on_polylines(spark, folder):
+    """Every telemetry record beside the edges' polylines: the first four vertices of a route, scaled to the records' area."""
+    spread = lambda p: F.struct((50 + 150 * p["x"]).alias("x"), (50 + 150 * p["y"]).alias("y"))
+    shape = F.transform(F.slice("route", 1, 4), spread)
+    edges = route_rows(spark, folder).select(F.col("vec_id").alias("edge_id"), shape.alias("shape"))
+    points = I.telemetry(spark, folder).select("event_id", F.col("vehicle_x").alias("x"), F.col("vehicle_y").alias("y"))
+    found = joins.nearest_edge(points, edges, 3.0)
+    return rounded(found.select("event_id", "edge_id", "gap"))
+
+
 @query(
     "route_envelopes",
     f"""WITH {ROUTES_SQL} SELECT vec_id, round(list_min(list_transform(route, lambda p: p.x)), 6) AS minimum_x,

@@ -189,6 +189,42 @@ def test_nearest_within_matches_brute_force(spark, per_cell):
         assert (r["target_id"] == best and abs(r["gap"] - gap) < 1e-9) if gap <= 12 else r["target_id"] is None
 
 
+@pytest.mark.parametrize("per_cell", [1000, 20, 2])
+def test_nearest_edge_matches_brute_force(spark, per_cell):
+    rng = np.random.default_rng(5)
+    points = [(float(x), float(y)) for x, y in np.vstack([rng.uniform(-50, 50, (150, 2)), rng.normal(0, 1, (100, 2))])]
+    points += [points[0]] * 20 + [(900.0, 900.0), (0.0, 0.0), (None, 1.0)]
+    starts = np.vstack([rng.uniform(-50, 50, (40, 2)), rng.normal(0, 1, (60, 2))])
+    edges = [(i, [tuple(map(float, p)) for p in a + np.cumsum(rng.normal(0, 1 + i % 9, (1 + i % 5, 2)), axis=0)]) for i, a in enumerate(starts)]
+    edges += [(200, edges[3][1]), (201, [(-500.0, -45.0), (500.0, 45.0)]), (202, []), (203, None), (204, [(2.0, 2.0), (2.0, 2.0)])]
+
+    def gap(x, y, shape):
+        best = math.inf
+        for a, b in zip(shape, shape[1:] or shape):
+            d = (b[0] - a[0], b[1] - a[1])
+            n = d[0] ** 2 + d[1] ** 2
+            t = max(0.0, min(1.0, ((x - a[0]) * d[0] + (y - a[1]) * d[1]) / n)) if n else 0.0
+            best = min(best, math.hypot(x - a[0] - t * d[0], y - a[1] - t * d[1]))
+        return best
+
+    got = joins.nearest_edge(
+        spark.createDataFrame(points, "x double, y double"),
+        spark.createDataFrame(edges, "edge_id int, shape array<struct<x: double, y: double>>"), 6.0, per_cell=per_cell,
+    ).collect()
+    assert len(got) == len(points)
+    for r in got:
+        if r["x"] is None:
+            assert r["edge_id"] is None
+            continue
+        gaps = {i: gap(r["x"], r["y"], s) for i, s in edges if s}
+        near = min(gaps.values())
+        if near > 6:
+            assert r["edge_id"] is None
+        else:
+            assert abs(r["gap"] - near) < 1e-9 and gaps[r["edge_id"]] - near < 1e-9
+            assert r["edge_id"] != 200  # the copy of a smaller id
+
+
 def test_salted_and_broadcast_lookups_agree(spark):
     facts = spark.createDataFrame([("h" if i % 3 else f"k{i}", i) for i in range(300)], "k string, i int")
     table = spark.createDataFrame([("h", 1.0), ("k3", 2.0)], "k string, w double")
