@@ -3,25 +3,56 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from fleetlens.operators.routes import project_on_segment
 from fleetlens.session import stage
-from fleetlens.settings import LOOKUP_ROWS, SALTS
+from fleetlens.settings import HOT_KEYS, HOT_ROWS, LOOKUP_BYTES, LOOKUP_ROWS, SALTS
 
 
-def is_small(df: DataFrame, rows: int = LOOKUP_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops counting beyond."""
-    return df.limit(rows + 1).count() <= rows
+def _width(df: DataFrame) -> Column:
+    """About the bytes of a row: the length of what varies in length, 8 for anything else."""
+    def one(field: StructField) -> Column:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            return F.octet_length(F.col(f"`{field.name}`"))
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            return F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`"))))
+        return F.lit(8)
 
+    return sum((F.coalesce(one(f), F.lit(0)).cast("long") for f in df.schema.fields), F.lit(0))
 
-def _salted(facts: DataFrame, table: DataFrame, on: Sequence[str], how: str, salts: int) -> DataFrame:
-    spread = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+
+def is_small(df: DataFrame, rows: int = LOOKUP_ROWS, most_bytes: int = LOOKUP_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``most_bytes``; stops reading beyond the rows."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(_width(df)).alias("bytes")).first()
+    return found["n"] <= rows and (found["bytes"] or 0) <= most_bytes
+
+
+def hot_keys(facts: DataFrame, on: Sequence[str], rows: int = HOT_ROWS, most: int = HOT_KEYS) -> DataFrame:
+    """Keys with more than ``rows`` rows, the ``most`` most frequent of them at most: a table that may be broadcast."""
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).dropna(subset=list(on))
+    return stage(counts.orderBy(F.desc("_n"), *on).limit(most).select(*on), "hot-keys")
+
+
+def _salted(facts: DataFrame, table: DataFrame, on: Sequence[str], how: str, salts: int, hot_rows: int) -> DataFrame:
+    """A shuffled join; only rows of hot keys are spread over ``salts`` copies of their rows in ``table``.
+
+    Null keys meet nothing, so their rows are spread as well. Hot keys beyond the most frequent are joined plainly.
+    """
+    hot = hot_keys(facts, on, hot_rows).withColumn("_hot", F.lit(True))
+    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
+    nowhere = reduce(or_, [F.col(c).isNull() for c in on])
+    facts = facts.join(F.broadcast(hot), on, "left")
+    facts = facts.withColumn("_salt", F.when(F.col("_hot") | nowhere, spread).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    table = table.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return facts.join(table, [*on, "_salt"], how).drop("_salt")
 
 
 def lookup(
@@ -32,17 +63,19 @@ def lookup(
     rows: int = LOOKUP_ROWS,
     salts: int = SALTS,
     computed: bool = True,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join ``facts`` to ``table``: broadcast if the table is small, else salted so that no key is hot.
+    """Join ``facts`` to ``table`` (left, inner or left_semi): broadcast if the table is small, else shuffled with hot keys salted.
 
-    A computed table is staged, so that counting it and joining it do not run its plan twice.
+    A computed table is staged, so that counting it and joining it do not run its plan twice. The keys of ``facts``
+    are counted before a shuffled join (counts combine before their shuffle, and a scan reads the keys alone).
     """
     on = [on] if isinstance(on, str) else list(on)
     if computed:
         table = stage(table, "lookup")
     if is_small(table, rows):
         return facts.join(F.broadcast(table), on, how)
-    return _salted(facts, table, on, how, salts)
+    return _salted(facts, table, on, how, salts, hot_rows)
 
 
 def lookup_with_default(
@@ -190,6 +223,7 @@ def _nearest_spot(
                 "_px", "_py", (F.col("_cx") * 2 + F.col("_dx")).alias("_cx"), (F.col("_cy") * 2 + F.col("_dy")).alias("_cy")
             )
         near = _nearer_cells(lookup(near, cells.drop("_n"), ["_cx", "_cy"], "inner", computed=False), radius)
+        near = stage(near, "near")  # the next level counts it and joins it
     size = radius / 2 ** (len(levels) - 1)
     placed = spots.withColumn("_cx", F.floor(F.col("_tx") / size)).withColumn("_cy", F.floor(F.col("_ty") / size))
     best = lookup(near, placed, ["_cx", "_cy"], "inner", computed=False).withColumn("_gap", gap)

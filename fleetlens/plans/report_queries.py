@@ -335,10 +335,10 @@ def default_lookup(spark, folder):
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_size FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""",
 )
 def salted_lookup(spark, folder):
-    """The path for tables that are too large to broadcast, with a limit that the test tables exceed."""
+    """The path for tables that are too large to broadcast, with limits that the test tables exceed: parts of over 30 items are hot."""
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return joins.lookup(items, parts, "l_partkey", rows=10, salts=8)
+    return joins.lookup(items, parts, "l_partkey", rows=10, salts=8, hot_rows=30)
 
 
 @query(

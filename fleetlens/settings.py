@@ -101,7 +101,11 @@ ETA_MODEL_FEATURES = [
     "destination_pca_2",
 ]
 
-# Scale limits of our own. A window group above GROUP_ROWS is cut into chunks; a table above LOOKUP_ROWS is not broadcast.
+# Scale limits of our own. A window group above GROUP_ROWS is cut into chunks; a table above LOOKUP_ROWS or LOOKUP_BYTES
+# is not broadcast; a join key with more than HOT_ROWS rows is salted, the HOT_KEYS most frequent ones at most.
 GROUP_ROWS = 2_000_000
 LOOKUP_ROWS = 200_000
+LOOKUP_BYTES = 64 << 20
+HOT_ROWS = 1_000_000
+HOT_KEYS = 10_000
 SALTS = 64

@@ -18,7 +18,7 @@ from fleetlens import settings  # noqa: E402
 
 if __name__ == "__main__" and "--chunked" in sys.argv:  # before the operators take the limits as their defaults
     sys.argv.remove("--chunked")
-    settings.GROUP_ROWS, settings.LOOKUP_ROWS = 40, 4
+    settings.GROUP_ROWS, settings.LOOKUP_ROWS, settings.HOT_ROWS = 40, 4, 20
 
 import __spark_entry__ as entry  # noqa: E402
 from fleetlens.session import build_session  # noqa: E402

@@ -225,14 +225,27 @@ def test_nearest_edge_matches_brute_force(spark, per_cell):
             assert r["edge_id"] != 200  # the copy of a smaller id
 
 
-def test_salted_and_broadcast_lookups_agree(spark):
-    facts = spark.createDataFrame([("h" if i % 3 else f"k{i}", i) for i in range(300)], "k string, i int")
-    table = spark.createDataFrame([("h", 1.0), ("k3", 2.0)], "k string, w double")
-    small, large = joins.lookup(facts, table, "k"), joins.lookup(facts, table, "k", rows=1, salts=5)
-    assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, large.select(*small.columns).collect()), key=repr)
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_salted_and_broadcast_lookups_agree(spark, how):
+    keys = [None if i % 7 == 0 else "h" if i % 3 else f"k{i}" for i in range(300)]
+    facts = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
+    table = spark.createDataFrame([("h", 1.0), ("h", 3.0), ("k3", 2.0), (None, 9.0)], "k string, w double")
+    small = joins.lookup(facts, table, "k", how)
+    for hot_rows in (1, 50, 1000):  # every key of two rows, "h" alone, none
+        large = joins.lookup(facts, table, "k", how, rows=1, salts=5, hot_rows=hot_rows)
+        assert sorted(map(tuple, small.collect()), key=repr) == sorted(map(tuple, large.select(*small.columns).collect()), key=repr)
     assert joins.keep_known(facts, table, "k", rows=1).count() == joins.keep_known(facts, table, "k").count()
 
 
+def test_only_hot_keys_are_copied_and_bytes_count(spark):
+    facts = spark.createDataFrame([("h" if i % 3 else f"k{i}", i) for i in range(300)] + [(None, i) for i in range(300)], "k string, i int")
+    assert [r.k for r in joins.hot_keys(facts, ["k"], 50).collect()] == ["h"]
+    assert [r.k for r in joins.hot_keys(facts, ["k"], 0, most=1).collect()] == ["h"]
+    table = spark.createDataFrame([("a" * 100, [1, 2], 1.0)] * 4 + [(None, None, None)], "k string, l array<int>, w double")
+    assert joins.is_small(table, 5) and not joins.is_small(table, 4)
+    assert joins.is_small(table, 5, 1000) and not joins.is_small(table, 5, 400)
+
+
 def test_ranking_ties_gaps_and_flat_scores(spark):
     schema = "model string, feature string, percentage_mean double"
     a = spark.createDataFrame([("m", "x", 50.0), ("m", "y", 50.0), ("m", "z", 0.0)], schema)
