@@ -119,26 +119,38 @@ class Vocabulary:
 
     def stream(self, piece: Iterable[int]) -> Iterator[int]:
         """Tokens of the bytes, each as soon as nothing that may follow can change it; memory stays constant."""
-        longest = self.lookahead
-        held, base = bytearray(), 0  # bytes from position ``base`` on, where an emitted token ends
-        last: list[int | None] = [None]  # last[i]: the last token of the prefix that ends at base + i
+        longest, endings, fits = self.lookahead, self.endings, self.fits
+        held = bytearray()  # bytes since the end of the last token emitted
+        last: list[int | None] = [None]  # last[i]: the last token of the prefix that ends at held[i]
         before: int | None = None  # the last token emitted
         since = 0
         for byte in piece:
             held.append(byte)
             end = len(held)
-            chosen, node, start = None, self.endings, end
+            start, node = end - 1, endings[byte]  # each byte is a token
             found = []
-            while start and (node := node.get(held[start - 1])) is not None:
-                start -= 1
+            while True:
                 if -1 in node:
-                    found.append((start, node[-1]))
-            for start, token in reversed(found):
-                previous = last[start] if start else before
-                if start and previous is None:
-                    continue
-                if self.merged_alone(token) and (previous is None or self.neighbours(previous, token)):
-                    chosen = token
+                    previous = last[start] if start else before
+                    if previous is not None or not start:
+                        found.append((previous, node[-1]))
+                if not start:
+                    break
+                start -= 1
+                node = node.get(held[start])
+                if node is None:
+                    break
+            chosen = None
+            while found:  # the longest first; only one fits
+                pair = found.pop()
+                if pair[0] is None:
+                    fit = True
+                else:
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = self.neighbours(*pair)
+                if fit and self.merged_alone(pair[1]):
+                    chosen = pair[1]
                     break
             last.append(chosen)
             since += 1
@@ -151,7 +163,6 @@ class Vocabulary:
                     before = done[-1]
                     del held[:cut]
                     last = [None, *last[cut + 1 :]]
-                    base += cut
         if held:
             yield from self._path(last, len(held))
 
