@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.operators import adaptation, features as X, folds, joins, ranking, stats
+from fleetlens.operators import adaptation, features as X, folds, joins, ranking, routes, stats
 from fleetlens.operators.calibrators import (
     FeatureCalibrator, FeatureCalibratorETA, FeatureCalibratorFuel, FeatureCalibratorStops,
 )
@@ -306,3 +306,12 @@ def test_hashes_of_neighbouring_seeds_are_independent(spark):
     rows = spark.range(1000).select(C.mixed_hash("id", 1).alias("a"), C.mixed_hash("id", 2).alias("b")).toPandas()
     assert (rows["a"] - rows["b"]).nunique() > 990
     assert abs(rows["a"].corr(rows["b"])) < 0.15 and abs(rows["a"].corr(pd.Series(range(1000)))) < 0.15
+
+
+def test_routes_without_a_segment(spark):
+    rows = [(1, [1.0, 2.0]), (2, []), (3, [0.0, 0.0, 4.0, 0.0]), (4, None)]
+    df = spark.createDataFrame(rows, "id int, v array<double>").withColumn("route", routes.points_from_array("v"))
+    found = {r["id"]: r for r in df.withColumn("n", routes.nearest_segment("route", F.lit(1.0), F.lit(2.0))).collect()}
+    assert [len(found[i]["route"]) for i in (1, 2, 3)] == [1, 0, 2] and found[4]["route"] is None
+    assert found[1]["n"] is None and found[2]["n"] is None and found[4]["n"] is None
+    assert (found[3]["n"]["d"], found[3]["n"]["i"], found[3]["n"]["x"]) == (2.0, 0, 1.0)
