@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["telemetry_queries", "trip_queries", "report_queries", "drift_queries", "model_queries"]
+MODULES = ["telemetry_queries", "trip_queries", "report_queries", "drift_queries", "model_queries", "stream_queries"]
 
 
 def load_catalog() -> tuple[dict, dict]:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.operators import prep, stats, trips as T
+from fleetlens.operators import prep, sketches, stats, trips as T
 from fleetlens.operators.ordered import OrderedRows
 from fleetlens.plans import inputs as I
 from fleetlens.plans.catalog import query, rounded, rounded_sql, table
-from fleetlens.sources import telemetry as src
-from fleetlens.session import shared_path
+from fleetlens.session import shared_path, stage
+from fleetlens.sources import clustered, telemetry as src
 
 END = 25 * 86_400
 PAUSE = lambda step: step > I.GAP
@@ -37,6 +37,15 @@ def trips_from_telemetry(spark, folder):
     return rounded(T.generate_trips(clean, 2_000_000, 20_500, ["event_id"], keep=["vehicle_id"]))
 
 
+@query("trips_from_clustered_telemetry", TRIPS_FROM_TELEMETRY)
+def trips_from_clustered_telemetry(spark, folder):
+    """The same trips from telemetry in buckets of vehicles: stored once, aggregated without a shuffle."""
+    clean = prep.clean_telemetry(I.telemetry(spark, folder), END)
+    path = shared_path(spark, "clustered")
+    stored = clustered.write_clustered(clean, "clustered_" + path.rsplit("-", 1)[1], path, buckets=16)
+    return rounded(T.generate_trips(stored, 2_000_000, 20_500, ["event_id"], keep=["vehicle_id"]))
+
+
 @query("clean_telemetry", f"""WITH {CLEAN_SQL} SELECT event_id, timestep_time, {rounded_sql("vehicle_speed")} FROM clean""")
 def clean_telemetry(spark, folder):
     clean = prep.clean_telemetry(I.telemetry(spark, folder), END)
@@ -267,6 +276,32 @@ def telemetry_per_hour(spark, folder):
     return rounded(stats.telemetry_per_hour(I.telemetry(spark, folder)))
 
 
+@query(
+    "sketched_days",
+    f"""WITH {I.TELEMETRY_SQL} SELECT timestep_time // 86400 AS day, count(*) AS n, count(DISTINCT vehicle_id) AS n_vehicles,
+    true AS vehicles_within, true AS median_within, true AS ninth_decile_within FROM telemetry GROUP BY 1""",
+)
+def sketched_days(spark, folder):
+    """Sketches of every hour, stored and merged per day; estimates beside exact counts and ranks, within four standard errors."""
+    rows = I.telemetry(spark, folder).select("timestep_time", "vehicle_id", "vehicle_speed")
+    stored = stage(sketches.sketches(rows, [C.hour_of("timestep_time").alias("hour")], "vehicle_id", "vehicle_speed"), "sketches")
+    found = sketches.estimates(sketches.merged(stored, [F.floor(F.col("hour") / 24).alias("day")]), [0.5, 0.9])
+    days = rows.withColumn("day", F.floor(F.col("timestep_time") / 86_400))
+    shares = days.join(F.broadcast(stage(found, "estimates")), "day").groupBy("day", "n", "n_distinct").agg(  # a row a day
+        F.count_distinct("vehicle_id").alias("n_vehicles"),
+        *[F.avg(F.expr(f"CAST(vehicle_speed {op} {q} AS INT)")).alias(f"{q}_{name}") for q in ("q0", "q1") for op, name in (("<", "below"), ("<=", "up_to"))],
+    )
+    spread = 4 * sketches.DISTINCT_ERROR * F.col("n_vehicles")
+
+    def within(q, p):
+        return (F.col(f"{q}_below") <= p + 4 * sketches.RANK_ERROR) & (F.col(f"{q}_up_to") >= p - 4 * sketches.RANK_ERROR)
+
+    return shares.select(
+        "day", "n", "n_vehicles", (F.abs(F.col("n_distinct") - F.col("n_vehicles")) <= spread).alias("vehicles_within"),
+        within("q0", 0.5).alias("median_within"), within("q1", 0.9).alias("ninth_decile_within"),
+    )
+
+
 @query(
     "telemetry_statistics",
     f"""WITH {I.TELEMETRY_SQL} SELECT count(DISTINCT vehicle_id) AS unique_vehicles,

@@ -56,6 +56,9 @@ def read_window(
 
 
 def write_trips(trips: DataFrame, path: str, time: str = "time_start", rows_per_file: int = 5_000_000) -> None:
-    """Trips in time order across and inside files, so that window scans read few row groups."""
-    ordered = trips.repartitionByRange(time).sortWithinPartitions(time)
+    """Trips in time order across and inside files, so that window scans read few row groups.
+
+    Ranges are cut by time and then by the hash of the row, so trips that start in one crowded second are many tasks.
+    """
+    ordered = trips.repartitionByRange(F.col(time), F.xxhash64(*trips.columns)).sortWithinPartitions(time)
     ordered.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from fleetlens import settings as S
 from fleetlens.functions.columns import absolute_error
-from fleetlens.operators.models import create_model, predict, retrain
+from fleetlens.operators.models import create_model, retrain
 from fleetlens.operators.prep import load_window
 from fleetlens.sources.registry import ModelRegistry
+from fleetlens.streaming.model_table import PARTS, saved_parts, score_by_version
 
 
 class ModelServing:
     """One registry per task over a table of featurised trips with the columns task, ts and seq.
 
-    The models of a task score only its own rows; retraining reads only the rows of its window. The number of tasks is
+    All tasks are scored in one pass, with their models as rows of one table; retraining reads only the rows of its window. The number of tasks is
     that of the deployed models, not of the data.
     """
 
@@ -27,6 +28,7 @@ class ModelServing:
     ) -> None:
         self.trips, self.features, self.target, self.kind = trips, list(features), target, kind
         self.n_training, self.log_scale, self.parameters = n_training or S.TRAINING_SAMPLES, set(log_scale), parameters
+        self.parts = f"{root}/parts"
         self.registries = {t: ModelRegistry(spark, root, t) for t in tasks}
         self.models: dict[tuple[str, str], object] = {}
         self.versions: dict[str, str] = {}
@@ -41,7 +43,9 @@ class ModelServing:
 
     def _register(self, task: str, version: str, model, start: int, end: int, base: str | None) -> None:
         metadata = {"base_version": base or version, "model": self.kind, "start_timestamp": start, "end_timestamp": end}
-        self.registries[task].save(model, version, metadata)
+        registry = self.registries[task]
+        registry.save(model, version, metadata)
+        saved_parts(registry.spark, f"{registry.folder}/{version}", task, version).write.mode("append").parquet(self.parts)
         self.models[task, version] = model
         self.versions[task] = version
 
@@ -51,14 +55,19 @@ class ModelServing:
         return self.models[task, version]
 
     def score(self, rows: DataFrame, versions: dict[str, str]) -> DataFrame:
-        """(task, ts, seq, error) of a batch under the given versions."""
-        parts = None
-        for task, version in versions.items():
-            scored = predict(self._model(task, version), rows.where(F.col("task") == task))
-            error = absolute_error(self.target, "prediction", task in self.log_scale).alias("error")
-            part = scored.select("task", "ts", "seq", error)
-            parts = part if parts is None else parts.unionByName(part)
-        return parts
+        """(task, ts, seq, error) of a batch under the given versions: one pass over the rows, models come as a table.
+
+        Rows of tasks without a version, and rows that lack a feature, have no error and are left out.
+        """
+        spark = rows.sparkSession
+        in_force = F.broadcast(spark.createDataFrame(list(versions.items()), "task string, version string"))  # one row a task
+        vector = F.array(*[F.col(f).cast("double") for f in self.features])
+        marked = rows.join(in_force, "task").select("task", "ts", "seq", "version", self.target, vector.alias("features"))
+        parts = spark.read.schema(PARTS).parquet(self.parts).join(in_force, ["task", "version"], "left_semi")
+        scored = score_by_version(marked, parts).where("prediction IS NOT NULL")
+        plain, logs = (absolute_error(self.target, "prediction", log) for log in (False, True))
+        error = F.when(F.col("task").isin(*self.log_scale), logs).otherwise(plain) if self.log_scale else plain
+        return scored.select("task", "ts", "seq", error.alias("error"))
 
     def retrain(self, task: str, start: int, end: int) -> str:
         """Continues the task's model on [start, end), registers the result and returns its version."""
