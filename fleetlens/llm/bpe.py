@@ -5,7 +5,7 @@ if every two neighbours are the encoding of their joined bytes, so each prefix h
 that end there. The merge list's sufficient lookahead is its longest token: no token that ends after byte n starts before
 n + 1 - longest, so whatever follows builds on one of the prefixes that end in the last ``longest`` bytes. Where the paths
 of all of these meet, the tokens before are stable; they are emitted and forgotten, so memory does not grow with the
-pre-token. What came out for a short pre-token is remembered in a bounded table. Merging itself (``merged``) only decides
+pre-token. Of a short pre-token only the prefixes that its end rests on are looked at; what came out is remembered in a bounded table. Merging itself (``merged``) only decides
 which two tokens may be neighbours.
 
 Decoding feeds token bytes to an incremental UTF-8 state machine, which holds back an unfinished character; what can't
@@ -87,6 +87,7 @@ class Vocabulary:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pre_tokens = regex.compile(PRE_TOKENS)
         self.fits: dict[tuple[int, int], bool] = {}
+        self.alone: dict[int, bool] = {}
         self.known = _Remembered(self)
 
     def merged(self, piece: bytes) -> list[int]:
@@ -166,11 +167,51 @@ class Vocabulary:
         if held:
             yield from self._path(last, len(held))
 
-    @lru_cache(maxsize=None)  # noqa: B019 - one entry a token, one vocabulary a process
+    def ended(self, piece: bytes) -> list[int]:
+        """What :meth:`stream` gives for a piece that ends within the lookahead's buffer, so nothing more can follow.
+
+        The transducer's state is then asked for at the end alone, and for those prefixes that the answer rests on.
+        """
+        last: dict[int, int | None] = {}
+        self._last(piece, len(piece), last)
+        return self._path(last, len(piece))
+
+    def _last(self, piece: bytes, end: int, last: dict[int, int | None]) -> int | None:
+        """The last token of the prefix up to ``end``, the longest that fits behind the prefix before it."""
+        start, node = end - 1, self.endings[piece[end - 1]]
+        found = []
+        while True:
+            if -1 in node:
+                found.append((start, node[-1]))
+            if not start:
+                break
+            start -= 1
+            node = node.get(piece[start])
+            if node is None:
+                break
+        chosen = None
+        for start, token in reversed(found):
+            if start:
+                previous = last[start] if start in last else self._last(piece, start, last)
+                if previous is None:
+                    continue
+                fit = self.fits.get((previous, token))
+                if not (self.neighbours(previous, token) if fit is None else fit):
+                    continue
+            if self.merged_alone(token):
+                chosen = token
+                break
+        last[end] = chosen
+        return chosen
+
     def merged_alone(self, token: int) -> bool:
-        return len(self.merged(self.bytes[token])) == 1
+        """Whether the token is the encoding of its own bytes."""
+        found = self.alone.get(token)
+        if found is None:
+            found = self.alone[token] = len(self.merged(self.bytes[token])) == 1
+        return found
 
-    def _path(self, last: list[int | None], end: int) -> list[int]:
+    def _path(self, last: list[int | None] | dict[int, int | None], end: int) -> list[int]:
         out = []
         while end > 0:
             out.append(last[end])
@@ -209,20 +250,23 @@ class Vocabulary:
 
 
 class _Remembered(dict):
-    """Tokens of pre-tokens by the transducer; those of short ones are kept, up to a bound."""
+    """Tokens of pre-tokens by the transducer; those of short ones are kept for two generations of a bounded size."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.before = vocabulary, {}
 
     def __missing__(self, piece: str) -> Iterable[int]:
-        raw = piece.encode("utf-8", "replace")
-        found = self.vocabulary.stream(raw)
-        if len(raw) > SHORT:
-            return found
-        found = tuple(found)
-        if len(self) < REMEMBERED:  # frequent ones come early
-            self[piece] = found
+        found = self.before.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8", "replace")
+            if len(raw) > SHORT:
+                return self.vocabulary.stream(raw)
+            found = self.vocabulary.ended(raw)
+        if len(self) >= REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+        self[piece] = found
         return found
 
 
