@@ -35,7 +35,7 @@ from fleetlens.llm.common import arrow_map
 #: Fixed values of the vocabulary's format: contractions, letters, numbers, others, white space.
 PRE_TOKENS = r""" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
-SHORT, REMEMBERED, FLUSH, CHUNK, NONE = 256, 200_000, 4096, 65_536, 1 << 60
+SHORT, REMEMBERED, FLUSH, CHUNK, NONE = 256, 400_000, 4096, 65_536, 1 << 60
 
 
 def default_vocabulary() -> str:
@@ -262,7 +262,7 @@ class _Remembered(dict):
             raw = piece.encode("utf-8", "replace")
             if len(raw) > SHORT:
                 return self.vocabulary.stream(raw)
-            found = self.vocabulary.ended(raw)
+            found = tuple(self.vocabulary.ended(raw))
         if len(self) >= REMEMBERED:
             self.before = dict(self)
             self.clear()
