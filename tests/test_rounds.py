@@ -3,7 +3,11 @@
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from fleetlens.functions.columns import mixed_hash
+from fleetlens.operators import folds
+from fleetlens.operators.ordered import numbered_by_hash
 from fleetlens.plans.catalog import rounded
 
 
@@ -14,3 +18,23 @@ def test_rounded_keeps_values_beyond_a_long(spark):
     assert got[:3] == [values[0], values[1], 1.234567]
     assert math.copysign(1, got[3]) == 1.0 and got[4] == 0.123457 and got[5] is None and got[6] == math.inf
     assert math.isnan(rounded(df.limit(1).select(F.lit(math.nan).alias("v"))).first()["v"])
+
+
+def test_hash_buckets_give_the_positions_of_one_window(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("g"), mixed_hash("id", 5).alias("m"))
+    rows = rows.withColumn("g", F.when(F.col("g") < 2, F.col("g")))
+    whole = Window.partitionBy("g").orderBy("m", "id")
+    want = {r["id"]: r["w"] for r in rows.withColumn("w", F.row_number().over(whole)).collect()}
+    for layout in ({"bucket_rows": 50}, {"bucket_rows": 10_000}, {"bucket_rows": 50, "group_rows": 5, "chunks": 4}):
+        done = numbered_by_hash(rows, ["g"], "m", ["id"], "at", **layout)
+        assert done.columns == ["id", "g", "m", "at"]
+        assert {r["id"]: r["at"] for r in done.collect()} == want
+
+
+def test_rows_are_not_sampled_into_ranges_for_folds(spark):
+    rows = spark.range(2000).select("id", (F.col("id") * 37 % 1000).cast("double").alias("v"))
+    done = folds.stratified_folds(rows, "v", ["id"], group_rows=150)
+    plan = done._jdf.queryExecution().toString()
+    assert "ordered-" not in plan and "rangepartitioning" not in plan.lower()
+    sizes = done.groupBy("stratum").pivot("fold").count().collect()
+    assert all(max(r[1:]) - min(r[1:]) <= 1 for r in sizes)
