@@ -5,8 +5,9 @@ import math
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetlens import session
 from fleetlens.functions.columns import mixed_hash
-from fleetlens.operators import folds
+from fleetlens.operators import folds, models as M
 from fleetlens.operators.ordered import numbered_by_hash
 from fleetlens.plans.catalog import rounded
 
@@ -38,3 +39,30 @@ def test_rows_are_not_sampled_into_ranges_for_folds(spark):
     assert "ordered-" not in plan and "rangepartitioning" not in plan.lower()
     sizes = done.groupBy("stratum").pivot("fold").count().collect()
     assert all(max(r[1:]) - min(r[1:]) <= 1 for r in sizes)
+
+
+def test_parts_of_folds_are_whole_folders_and_shared(spark):
+    rows = spark.range(400).select("id", (F.col("id") % 4).cast("int").alias("fold"), (F.col("id") * 0.5).alias("a"))
+    rows = rows.withColumn("y", F.col("a") * 3 + 1)
+    parts = M.FoldParts(rows)
+    learn = parts.part(0, 1, 3)
+    assert parts.folds == [0, 1, 2, 3] and learn.columns == ["id", "a", "y"]
+    assert sorted(r["id"] for r in learn.collect()) == [i for i in range(400) if i % 4 != 2]
+    staged = len(session._staged)
+    first, _ = M.cross_validate(parts, ["linear"], "y", "one", None, ["a"])
+    second, _ = M.cross_validate(parts, ["linear"], "y", "two", None, ["a"])
+    assert not any("folded" in path for _, path in session._staged[staged:])
+    assert all(r["mae"] < 1e-6 for r in first.union(second).collect())
+
+
+def test_cached_vectors_give_the_same_models(spark):
+    rows = spark.range(600).select((F.col("id") % 2).cast("int").alias("fold"), (F.col("id") * 7 % 101 * 1.0).alias("a"))
+    rows = rows.withColumns({"b": F.col("a") % 13, "y": F.col("a") * 2 + F.col("a") % 7})
+    small = {"xgboost": {"maxIter": 2, "maxDepth": 2}}
+    held = M.FoldParts(rows, ["a", "b"], "y")
+    got, _ = M.cross_validate(held, ["xgboost"], "y", "x", None, ["a", "b"], small)
+    held.release()
+    want = {f: M.create_model("xgboost", ["a", "b"], "y", **small["xgboost"]).fit(rows.where(F.col("fold") != f)) for f in (0, 1)}
+    for r in got.collect():
+        scored = M.predict(want[r["fold"]], rows.where(F.col("fold") == r["fold"]))
+        assert abs(r["mae"] - scored.agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]) < 0.5
