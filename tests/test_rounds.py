@@ -7,9 +7,10 @@ from pyspark.sql.window import Window
 
 from fleetlens import session
 from fleetlens.functions.columns import mixed_hash
-from fleetlens.operators import folds, models as M
-from fleetlens.operators.ordered import numbered_by_hash
+from fleetlens.operators import folds, models as M, stats
+from fleetlens.operators.ordered import chunk_count, numbered_by_hash
 from fleetlens.plans.catalog import rounded
+from fleetlens.settings import GROUP_ROWS, MOST_CHUNKS
 
 
 def test_rounded_keeps_values_beyond_a_long(spark):
@@ -66,3 +67,22 @@ def test_cached_vectors_give_the_same_models(spark):
     for r in got.collect():
         scored = M.predict(want[r["fold"]], rows.where(F.col("fold") == r["fold"]))
         assert abs(r["mae"] - scored.agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0]) < 0.5
+
+
+def test_small_limits_do_not_send_samples_of_thousands_of_chunks():
+    assert chunk_count(54_000_000, 1000, 200) == MOST_CHUNKS
+    assert chunk_count(3_000, 1000, 2) == 3
+    assert chunk_count(GROUP_ROWS * 2 * MOST_CHUNKS, GROUP_ROWS, 2) == 2 * MOST_CHUNKS
+    assert chunk_count(GROUP_ROWS * 2 * MOST_CHUNKS, 1000, 2) == 2 * MOST_CHUNKS
+
+
+def test_correlations_read_the_rows_once(spark):
+    rows = spark.range(0, 4000, 1, 7).select((F.col("id") % 97 + 1e6).alias("a"), F.lit(0.1).alias("k"))
+    rows = rows.withColumns({"b": F.when(F.rand(3) > 0.3, F.col("a") * 2 + F.rand(5)), "c": F.rand(7)})
+    rows = rows.withColumn("c", F.when(F.col("c") > 0.5, F.col("c")).otherwise(F.lit(math.nan))).localCheckpoint()
+    staged = len(session._staged)
+    got = {(r[0], r[1]): r[2] for r in stats.correlated_pairs(rows, ["a", "b", "c", "k"], 0.0).collect()}
+    assert len(session._staged) == staged
+    want = rows.toPandas()[["a", "b", "c", "k"]].corr().abs()
+    assert set(got) == {("b", "a"), ("c", "a"), ("c", "b")}
+    assert all(abs(want.loc[i, j] - v) < 1e-9 for (i, j), v in got.items())
