@@ -86,3 +86,21 @@ def test_correlations_read_the_rows_once(spark):
     want = rows.toPandas()[["a", "b", "c", "k"]].corr().abs()
     assert set(got) == {("b", "a"), ("c", "a"), ("c", "b")}
     assert all(abs(want.loc[i, j] - v) < 1e-9 for (i, j), v in got.items())
+
+
+def test_permutation_moves_each_row_once_and_keeps_its_values(spark):
+    rows = spark.range(501).select("id", (F.col("id") * 37 % 101 * 1.0).alias("a"), (F.col("id") * 11 % 53 * 1.0).alias("b"))
+    rows = rows.withColumn("y", F.col("a") * 3 + F.col("b"))
+    model = M.create_model("linear", ["a", "b"], "y").fit(rows)
+    got = M.permutation_importance(model, rows, "y", ["a", "b"], ["id"], repeats=2)
+    assert "ordered-" not in got._jdf.queryExecution().toString()
+    placed = rows.withColumn("m", mixed_hash("id", 42)).orderBy("m", "id").toPandas()
+    n, want = len(placed), {"a": 0.0, "b": 0.0}
+    for r in range(2):
+        a = (1_000_003 * (r + 1) + 42) % n or 1
+        while math.gcd(a, n) != 1:
+            a += 1
+        to = [(a * i + 7_919 * (r + 1) * 43) % n for i in range(n)]
+        for f, weight in (("a", 3), ("b", 1)):
+            want[f] += (placed[f].to_numpy()[to] - placed[f].to_numpy()).__abs__().mean() * weight / 2
+    assert all(abs(r["importance"] - want[r["feature"]]) < 1e-6 for r in got.collect())
