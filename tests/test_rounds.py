@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from fleetlens import session
 from fleetlens.functions.columns import mixed_hash
-from fleetlens.operators import folds, models as M, stats
+from fleetlens.operators import folds, joins, models as M, stats
 from fleetlens.operators.ordered import chunk_count, numbered_by_hash
 from fleetlens.plans.catalog import rounded
 from fleetlens.settings import GROUP_ROWS, MOST_CHUNKS
@@ -104,3 +104,15 @@ def test_permutation_moves_each_row_once_and_keeps_its_values(spark):
         for f, weight in (("a", 3), ("b", 1)):
             want[f] += (placed[f].to_numpy()[to] - placed[f].to_numpy()).__abs__().mean() * weight / 2
     assert all(abs(r["importance"] - want[r["feature"]]) < 1e-6 for r in got.collect())
+
+
+def test_pairs_of_points_and_cells_are_not_written_while_cells_are_few(spark):
+    points = spark.range(400).select("id", (F.col("id") * 7 % 101 * 0.13).alias("x"), (F.col("id") * 3 % 89 * 0.17).alias("y"))
+    targets = spark.range(600).select(F.col("id").alias("target_id"), (F.col("id") * 5 % 97 * 0.14).alias("x"), (F.col("id") * 11 % 83 * 0.18).alias("y"))
+    staged = len(session._staged)
+    found = joins.nearest_within(points, targets, 1.0, per_cell=4)
+    assert not any("/near-" in path for _, path in session._staged[staged:])
+    spots = [tuple(t) for t in targets.collect()]
+    for r in found.collect():
+        gap, nearest = min((math.hypot(x - r["x"], y - r["y"]), i) for i, x, y in spots)
+        assert (r["target_id"] == nearest and abs(r["gap"] - gap) < 1e-9) if gap <= 1 else r["target_id"] is None
