@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -114,18 +115,141 @@ def cell_features(trips: DataFrame, size: float = S.CELL_METRES) -> DataFrame:
     return trips.withColumns({name: floor_cell(c, size) for c, name in names.items()})
 
 
+CELL = "_cell"
+_SUMS = ["n", "x", "y", "s"]  # of a cell or a cluster: points, sums of both coordinates, squares around the middle of all
+
+
+def _sums(middle: np.ndarray) -> list[Column]:
+    square = F.pow(F.col("x") - float(middle[0]), F.lit(2.0)) + F.pow(F.col("y") - float(middle[1]), F.lit(2.0))
+    return [F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(square).alias("s")]
+
+
+def _in_cells(points: DataFrame, x: str, y: str) -> tuple[DataFrame, np.ndarray]:
+    """``x, y`` and the cell of a grid over three deviations around the middle; outer cells take what lies beyond."""
+    xy = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    usable = (F.abs("x") < math.inf) & (F.abs("y") < math.inf)
+    row = xy.agg(
+        F.count(F.lit(1)), F.count_if(usable), F.avg("x"), F.avg("y"), F.stddev_pop("x"), F.stddev_pop("y")
+    ).first()
+    if not row[0] or row[0] != row[1]:
+        raise ValueError(f"clusters need points with both coordinates: {row[0] - row[1]} of {row[0]} have none")
+    middle, side = np.array(row[2:4]), S.CLUSTER_GRID
+
+    def place(axis: str, mean: float, std: float) -> Column:
+        at = F.floor((F.col(axis) - (mean - 3 * std)) * (side / (6 * std or 1.0)))
+        return F.greatest(F.lit(0), F.least(F.lit(side - 1), at))
+
+    cell = (place("x", row[2], row[4]) * side + place("y", row[3], row[5])).cast("int")
+    return xy.withColumn(CELL, cell), middle
+
+
+def _may_be_nearest(cells: pd.DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Per cell and centre, whether the centre may be the nearest one somewhere in the cell's box."""
+    boxes = cells[["x0", "x1", "y0", "y1"]].to_numpy()
+    middles = np.stack([boxes[:, :2].mean(axis=1), boxes[:, 2:].mean(axis=1)], axis=1)
+    norms = (centres**2).sum(axis=1)
+    own = (middles @ (-2 * centres.T) + norms).argmin(axis=1)
+    maybe = np.zeros((len(cells), len(centres)), dtype=bool)
+    for j, (cx, cy) in enumerate(centres):
+        # how much farther the middle's centre is than this one is linear in the place: largest in a corner of the box
+        dx, dy = 2 * (cx - centres[own, 0]), 2 * (cy - centres[own, 1])
+        most = np.maximum(boxes[:, 0] * dx, boxes[:, 1] * dx) + np.maximum(boxes[:, 2] * dy, boxes[:, 3] * dy)
+        maybe[:, j] = (own == j) | (most + norms[own] - norms[j] >= 0)
+    return maybe
+
+
+_BORDER = pa.schema([(CELL, pa.int32()), ("near", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64()), ("n", pa.float64()), ("j", pa.int32())])))])
+
+
+def _clusters(placed: DataFrame, cells: pd.DataFrame, centres: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """The sums of each cluster over all points: whole cells by their sums, points of cells on a border one by one.
+
+    The centres go in as rows, not as literals, so the code generated for the first iteration serves all of them.
+    """
+    maybe = _may_be_nearest(cells, centres)
+    border = maybe.sum(axis=1) > 1
+    sums = np.zeros((len(centres), len(_SUMS)))
+    np.add.at(sums, maybe[~border].argmax(axis=1), cells.loc[~border, _SUMS].to_numpy(dtype=float))
+    if border.any():
+        lines = [{"x": -2 * cx, "y": -2 * cy, "n": cx * cx + cy * cy, "j": j} for j, (cx, cy) in enumerate(centres.tolist())]
+        rows = [
+            {CELL: cell, "near": [lines[j] for j in np.flatnonzero(near)]}
+            for cell, near in zip(cells.loc[border, CELL].tolist(), maybe[border])
+        ]
+        few = placed.sparkSession.createDataFrame(pa.Table.from_pylist(rows, _BORDER))
+        gap = lambda t: F.struct((F.col("x") * t["x"] + F.col("y") * t["y"] + t["n"]).alias("d"), t["j"].alias("j"))
+        nearest = F.array_min(F.transform("near", gap))["j"]
+        found = placed.join(F.broadcast(few), CELL).groupBy(nearest.alias("j")).agg(*_sums(middle))
+        for r in found.collect():
+            sums[r["j"]] += [r[n] for n in _SUMS]
+    return sums
+
+
+def _cost(sums: np.ndarray, centres: np.ndarray, middle: np.ndarray) -> float:
+    """Sum of squared distances of all points to their centres."""
+    n, off = sums[:, 0], centres - middle
+    moved = sums[:, 1:3] - n[:, None] * middle
+    return float((sums[:, 3] - 2 * (off * moved).sum(axis=1) + n * (off**2).sum(axis=1)).sum())
+
+
+def _means(sums: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The mean of each cluster; one without points keeps its centre."""
+    return np.where(sums[:, :1] > 0, sums[:, 1:3] / np.maximum(sums[:, :1], 1), centres)
+
+
+def _first_centres(placed: DataFrame, cells: pd.DataFrame, k: int, seed: int, rounds: int) -> np.ndarray:
+    """Where the iterations over all points start: k-means++ over the means of the cells, weighted, and its own iterations.
+
+    Where few cells are occupied (all but a few points far closer to each other than these are), they do not show how
+    the points lie; then Spark's k-means|| looks at the points.
+    """
+    if len(cells) < 8 * k:
+        vectors = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(placed)
+        return np.array(KMeans(k=k, seed=seed, maxIter=0).fit(vectors).clusterCenters())
+    rng, n = np.random.default_rng(seed), cells["n"].to_numpy(dtype=float)
+    at = cells[["x", "y"]].to_numpy() / n[:, None]
+    chosen = [int(rng.choice(len(at), p=n / n.sum()))]
+    gap = ((at - at[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        chosen.append(int(rng.choice(len(at), p=n * gap / (n * gap).sum())))
+        gap = np.minimum(gap, ((at - at[chosen[-1]]) ** 2).sum(axis=1))
+    centres = at[chosen]
+    for _ in range(rounds):
+        own = (at @ (-2 * centres.T) + (centres**2).sum(axis=1)).argmin(axis=1)
+        sums = np.zeros((k, 3))
+        np.add.at(sums, own, cells[_SUMS[:3]].to_numpy(dtype=float))
+        centres = _means(sums, centres)
+    return centres
+
+
 def fit_centres(
-    points: DataFrame, x: str, y: str, k: int, seed: int = 42, restarts: int = 1, max_iter: int = 20
+    points: DataFrame, x: str, y: str, k: int, seed: int = 42, restarts: int = 1, max_iter: int = 20, tol: float = 1e-4
 ) -> list[tuple[float, float]]:
-    """Cluster centres of the best of several starts, ordered by (x, y) so that cluster ids do not depend on the run."""
-    vectors = VectorAssembler(inputCols=[x, y], outputCol="features").transform(points.select(x, y)).select("features")
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    """Cluster centres of the best of several starts, ordered by (x, y) so that cluster ids do not depend on the run.
+
+    Every iteration takes in every point, but few of them singly: points are summed up per cell of a grid once, and a
+    cell that no border between clusters crosses counts by its sums. The driver holds the cells, ``CLUSTER_GRID``
+    squared at most.
+    """
+    placed, middle = _in_cells(points, x, y)
+    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(vectors) for i in range(restarts)]
+        box = [f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]
+        cells = placed.groupBy(CELL).agg(*_sums(middle), *box).orderBy(CELL).collect()
+        cells = pd.DataFrame([r.asDict() for r in cells])
+        best, least = None, math.inf
+        for start in range(restarts):
+            centres = _first_centres(placed, cells, k, seed + start, max_iter)
+            for _ in range(max_iter):
+                before, centres = centres, _means(_clusters(placed, cells, centres, middle), centres)
+                if np.hypot(*(centres - before).T).max() <= tol:
+                    break
+            cost = _cost(_clusters(placed, cells, centres, middle), centres, middle) if restarts > 1 else 0.0
+            if cost < least:
+                best, least = centres, cost
     finally:
-        vectors.unpersist()
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return sorted((float(c[0]), float(c[1])) for c in best.clusterCenters())
+        placed.unpersist()
+    return sorted((float(cx), float(cy)) for cx, cy in best)
 
 
 def cluster_features(

@@ -2,12 +2,14 @@
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fleetlens import session
 from fleetlens.functions.columns import mixed_hash
-from fleetlens.operators import folds, joins, models as M, stats
+from fleetlens.operators import features as X, folds, joins, models as M, stats
 from fleetlens.operators.ordered import chunk_count, numbered_by_hash
 from fleetlens.plans.catalog import rounded
 from fleetlens.settings import GROUP_ROWS, MOST_CHUNKS
@@ -116,3 +118,36 @@ def test_pairs_of_points_and_cells_are_not_written_while_cells_are_few(spark):
     for r in found.collect():
         gap, nearest = min((math.hypot(x - r["x"], y - r["y"]), i) for i, x, y in spots)
         assert (r["target_id"] == nearest and abs(r["gap"] - gap) < 1e-9) if gap <= 1 else r["target_id"] is None
+
+
+def test_clusters_take_in_every_point_but_few_singly(spark):
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(0, 100, (6000, 2)), [[1e5, -1e5], [30.0, 40.0], [30.0, 40.0]]])
+    points = spark.createDataFrame(xy.tolist(), "a double, b double")
+    placed, middle = X._in_cells(points, "a", "b")
+    box = [f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))]
+    cells = placed.groupBy(X.CELL).agg(*X._sums(middle), *box).toPandas()
+    centres = np.array([[-80.0, 0.0], [30.0, 40.0], [30.0, 40.0], [90.0, -90.0], [0.0, 5e5]])
+    got = X._clusters(placed, cells, centres, middle)
+    own = ((xy[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    want = np.array([[(own == j).sum(), *xy[own == j].sum(axis=0)] for j in range(5)])
+    assert np.allclose(got[:, :3], want) and got[2, 0] == got[4, 0] == 0
+    assert math.isclose(X._cost(got, centres, middle), ((xy - centres[own]) ** 2).sum(), rel_tol=1e-9)
+    inner = placed.where(F.hypot("x", "y") < 1000).drop(X.CELL)
+    fine, _ = X._in_cells(inner, "x", "y")
+    boxes = fine.groupBy(X.CELL).agg(F.count(F.lit(1)).alias("n"), *box).toPandas()
+    singly = X._may_be_nearest(boxes, centres[[0, 1, 3]]).sum(axis=1) > 1
+    assert boxes.loc[singly, "n"].sum() < len(xy) / 10
+
+
+def test_centres_are_the_means_of_their_clusters_also_beside_a_far_point(spark):
+    rng = np.random.default_rng(4)
+    for far in ([], [[1e9, 1e9]]):
+        xy = np.concatenate([rng.normal(0, 5, (600, 2)) + c for c in ((0, 0), (100, 0), (0, 100))] + ([far] if far else []))
+        points = spark.createDataFrame(xy.tolist(), "a double, b double")
+        centres = np.array(X.fit_centres(points, "a", "b", 3 + len(far), restarts=3))
+        own = ((xy[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert np.allclose(centres, [xy[own == j].mean(axis=0) for j in range(len(centres))])
+        assert sorted(np.bincount(own))[-3:] == [600] * 3
+    with pytest.raises(ValueError):
+        X.fit_centres(points.union(spark.sql("SELECT CAST(NULL AS DOUBLE), 1.0D")), "a", "b", 3)
