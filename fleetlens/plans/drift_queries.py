@@ -12,7 +12,7 @@ from fleetlens import settings as S
 from fleetlens.operators import reports, stats
 from fleetlens.plans import inputs as I
 from fleetlens.plans.catalog import query, rounded
-from fleetlens.session import shared_path
+from fleetlens.session import shared_path, stage
 from fleetlens.operators.prep import load_window
 from fleetlens.streaming import batch as B, calibration as K, lifecycle as L, typed as T
 from fleetlens.streaming.serving import ModelServing
@@ -236,11 +236,16 @@ tested AS (SELECT task, position, ts, ks, CASE WHEN level < 0.2 THEN 1 ELSE leas
   lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * level * level))))) END AS p_value FROM l)"""
 
 
-def kswin_errors(spark, folder):
+def first_errors(rows):
+    """The errors that calibration looks at, found once."""
+    return stage(K.calibration_rows(rows, SETTINGS.calibration), "calibration")
+
+
+def kswin_errors(spark, folder, first=None):
     """The raw errors after the calibration, which is what the test watches."""
     rows = error_rows(spark, folder)
-    first = K.calibration_rows(rows, SETTINGS.calibration).select("task", "seq")
-    return rows.join(first, ["task", "seq"], "left_anti")
+    first = first_errors(rows) if first is None else first
+    return rows.join(first.select("task", "seq"), ["task", "seq"], "left_anti")
 
 
 def kswin_limits(spark):
@@ -273,17 +278,18 @@ def adwin_detection(spark, folder):
 def calibrated_fires(spark, folder):
     """First fires of all four detectors, each with the parameters that calibration chose for the task."""
     errors = error_rows(spark, folder)
-    smooth = B.smoothed_errors(errors, SETTINGS.smoothing, SETTINGS.calibration)
-    of = lambda name, *columns: K.choose_candidates(errors, name, SETTINGS).select(
+    first = first_errors(errors)
+    smooth = stage(B.smoothed_errors(errors, SETTINGS.smoothing, SETTINGS.calibration), "smoothed")
+    of = lambda name, *columns: K.choose_candidates(first, name, SETTINGS).select(
         "task", *[F.get("parameters", F.lit(i)).cast(kind).alias(c) for i, (c, kind) in enumerate(columns)]
     )
     page = of("PAGE_HINKLEY", ("delta", "double"), ("threshold", "double"))
     kswin = of("KSWIN", ("alpha", "double"), ("size", "int"), ("stat", "int"))
-    spc = K.spc_calibration(errors, SETTINGS)
+    spc = K.spc_calibration(first, SETTINGS)
     found = {
         "ADWIN": B.first_adwin_fire(smooth, of("ADWIN", ("delta", "double")), SETTINGS.grace),
         "PAGE_HINKLEY": B.first_page_hinkley_fires(smooth, page, SETTINGS.grace),
-        "KSWIN": B.first_kswin_fire(kswin_errors(spark, folder), kswin, SETTINGS.stride),
+        "KSWIN": B.first_kswin_fire(kswin_errors(spark, folder, first), kswin, SETTINGS.stride),
         "SPC": B.first_spc_fire(smooth, spc, SETTINGS.grace),
     }
     rows = [df.select("task", F.lit(name).alias("detector"), "position", "ts") for name, df in found.items()]

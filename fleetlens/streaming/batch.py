@@ -13,7 +13,7 @@ from fleetlens import settings as S
 from fleetlens.functions.columns import absolute_error
 from fleetlens.operators.joins import lookup
 from fleetlens.operators.ordered import OrderedRows
-from fleetlens.streaming.detectors import Adwin, ks_p_value, sliding_distances
+from fleetlens.streaming.detectors import Adwin, ks_p_values, sliding_distances
 
 KS_BLOCK = 4096  # positions of a block of sliding tests, more where windows are larger
 
@@ -122,7 +122,7 @@ def sliding_ks(errors: DataFrame, limits: DataFrame, stride: int = S.HIGH_STRIDE
         numbers, own = column("_n"), np.asarray(table["_home"])
         ends = np.flatnonzero(own & (numbers >= size - 1))
         distances = sliding_distances(column("error"), ends, size, stat)
-        p = [ks_p_value(d, size - stat, stat) for d in distances]
+        p = ks_p_values(distances, size - stat, stat)
         found = table.select(["task", "position", "ts"]).take(pa.array(ends))
         return found.append_column("ks", pa.array(distances, pa.float64())).append_column("p_value", pa.array(p, pa.float64()))
 
@@ -150,6 +150,8 @@ def first_adwin_fire(errors: DataFrame, limits: DataFrame, grace: int = S.GRACE_
     def watch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, detector, position, fired = None, None, 0, False
         for batch in batches:
+            if fired and batch.num_rows and batch["task"][-1].as_py() == batch["task"][0].as_py() == task:
+                continue  # the task has fired, and the batch holds no other one
             found = []
             for name, ts, error, delta in zip(*(c.to_pylist() for c in batch.columns)):
                 if detector is None or name != task:

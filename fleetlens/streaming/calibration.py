@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetlens import settings as S
 from fleetlens.operators.joins import lookup
@@ -92,8 +93,18 @@ def calibrated_detectors(errors: Sequence[float], settings: DetectorSettings) ->
 
 
 def calibration_rows(errors: DataFrame, samples: int, **layout) -> DataFrame:
-    """The first ``samples`` errors of every task in (ts, seq) order with their position."""
-    laid = OrderedRows.lay_out(errors.select("task", "ts", "seq", "error"), ["task"], ["ts", "seq"], **layout)
+    """The first ``samples`` errors of every task in (ts, seq) order with their position.
+
+    Rows are counted per task and window of time before, so that only those up to the window of the last are put in
+    order, not the whole stream.
+    """
+    rows, at = errors.select("task", "ts", "seq", "error"), F.floor(F.col("ts") / S.WINDOW_SECONDS)
+    counts = rows.groupBy("task", at.alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("task").orderBy("_w").rowsBetween(Window.unboundedPreceding, -1))
+    begun = counts.withColumn("_before", before).where(F.coalesce("_before", F.lit(0)) < samples)
+    last = begun.groupBy("task").agg(F.max("_w").alias("_last"))
+    early = lookup(rows, last, "task").where(F.coalesce(at <= F.col("_last"), F.lit(True))).drop("_last")
+    laid = OrderedRows.lay_out(early, ["task"], ["ts", "seq"], **layout)
     return laid.numbered("position").rows().where(F.col("position") <= samples)
 
 

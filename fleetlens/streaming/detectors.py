@@ -157,6 +157,16 @@ def ks_p_value(distance: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, 2 * total))
 
 
+def ks_p_values(distances: np.ndarray, n: int, m: int) -> np.ndarray:
+    """The p-values of many distances at once."""
+    size = math.sqrt(n * m / (n + m))
+    level = (size + 0.12 + 0.11 / size) * distances
+    total = np.zeros(len(level))
+    for j in range(1, 101):
+        total += (-1) ** (j - 1) * np.exp(-2 * j * j * level * level)
+    return np.where(level < 0.2, 1.0, np.clip(2 * total, 0.0, 1.0))
+
+
 class Kswin:
     """Two-sample Kolmogorov-Smirnov test of the newest values against a sample of the older ones."""
 

@@ -13,6 +13,7 @@ from fleetlens.operators import features as X, folds, joins, models as M, stats
 from fleetlens.operators.ordered import chunk_count, numbered_by_hash
 from fleetlens.plans.catalog import rounded
 from fleetlens.settings import GROUP_ROWS, MOST_CHUNKS
+from fleetlens.streaming import calibration as K, detectors as D
 
 
 def test_rounded_keeps_values_beyond_a_long(spark):
@@ -151,3 +152,26 @@ def test_centres_are_the_means_of_their_clusters_also_beside_a_far_point(spark):
         assert sorted(np.bincount(own))[-3:] == [600] * 3
     with pytest.raises(ValueError):
         X.fit_centres(points.union(spark.sql("SELECT CAST(NULL AS DOUBLE), 1.0D")), "a", "b", 3)
+
+
+@pytest.mark.parametrize("samples", [1, 40, 5000])
+def test_calibration_puts_only_the_early_rows_in_order(spark, samples, monkeypatch):
+    rows = [(t, None if i == 7 else i * 11 % 997 * 9, i, float(i)) for t, n in (("a", 900), ("b", 30), (None, 200)) for i in range(n)]
+    rows += [("c", 50, i, 1.0) for i in range(100)]
+    errors = spark.createDataFrame(rows, "task string, ts long, seq long, error double")
+    laid, lay_out = [], K.OrderedRows.lay_out
+    monkeypatch.setattr(K.OrderedRows, "lay_out", lambda df, *a, **b: laid.append(df) or lay_out(df, *a, **b))
+    got = sorted((r["task"] or "", r["position"], r["seq"]) for r in K.calibration_rows(errors, samples).collect())
+    want = []
+    for t in ("a", "b", "c", None):
+        mine = sorted((r for r in rows if r[0] == t), key=lambda r: (r[1] is not None, r[1], r[2]))
+        want += [(t or "", i + 1, r[2]) for i, r in enumerate(mine[:samples])]
+    assert got == sorted(want)
+    if samples == 40:  # at 1, the window of unknown time comes first and tells no bound
+        assert laid[0].where("task = 'a'").count() < samples + 100
+
+
+def test_p_values_of_many_distances_are_those_of_each():
+    distances = np.array([0.0, 0.01, 0.1, 0.2, 0.35, 0.6, 1.0])
+    got = D.ks_p_values(distances, 60, 30)
+    assert np.allclose(got, [D.ks_p_value(float(d), 60, 30) for d in distances], rtol=1e-9, atol=1e-15)
