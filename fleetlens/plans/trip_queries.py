@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
 from fleetlens.operators import adaptation, features as X, folds, prep, stats
 from fleetlens.operators.calibrators import (
-    FeatureCalibrator, FeatureCalibratorETA, FeatureCalibratorFuel, FeatureCalibratorStops,
+    GROUPS, FeatureCalibrator, FeatureCalibratorETA, FeatureCalibratorFuel, FeatureCalibratorStops,
 )
 from fleetlens.operators.ordered import exact_percentiles
 from fleetlens.operators.routes import edge_array_statistics
@@ -564,11 +565,19 @@ def correlated_features(spark, folder):
     return rounded(stats.correlated_pairs(I.trips(spark, folder), ["source_x", "source_y", "distance", "duration"], 0.9))
 
 
+def wide_features(trips):
+    """All six feature groups. Clusters are fitted on the trips with both ends; a trip without one has no cluster there."""
+    fitted = FeatureCalibrator.fit(trips, tuple(g for g in GROUPS if g != "cluster"))
+    placed = FeatureCalibrator.fit(trips.dropna(subset=X.ENDS), ("cluster",))
+    centres = {"source_centres": placed.source_centres, "destination_centres": placed.destination_centres}
+    return replace(fitted, groups=list(GROUPS), **centres).transform(trips)
+
+
 @query("correlated_features_wide")
 def correlated_features_wide(spark, folder):
     """All 54 features, nulls skipped pair by pair."""
     trips = I.trips(spark, folder).drop("model", "scenario", "trip_id", "part", "supplier")
-    full = FeatureCalibrator.fit(trips, ("temporal", "spatial", "fourier", "cell", "pca")).transform(trips)
+    full = wide_features(trips)
     return stats.correlated_pairs(full, [c for c in full.columns if c != "duration"], 0.95)
 
 
