@@ -78,3 +78,13 @@ def test_hold_out_takes_default_models(spark, monkeypatch):
     rows = Q.models_by_hold_out(spark, "").collect()
     assert [r["model"] for r in rows] == list(M.FACTORIES)
     assert seen["GBTRegressor"] == [[100, 7]] * 3 and seen["RandomForestRegressor"] == [[20, 5]] and seen["DecisionTreeRegressor"] == [[5]]
+
+
+def test_cross_validation_fills_no_cache(spark, monkeypatch):
+    """Cached vectors of the training part took more than the executors' heap at 36 million rows."""
+    asked, persist = [], type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *level: asked.append(df.columns) or persist(df, *level))
+    rows = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 17 * 1.0).alias("a"))
+    small = {"xgboost": {"maxIter": 1, "maxDepth": 2}}
+    scored, _ = M.cross_validate(rows.withColumn("y", F.col("a") * 3), ["linear", "xgboost"], "y", "x", lambda learn: lambda part: part, ["a"], small)
+    assert scored.count() == 4 and not asked
